@@ -9,19 +9,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellspark.llm import mixing, quality
+from cellspark.llm.embedding_dedup import embedding_components
+from cellspark.llm.langid import language_scores
+from cellspark.llm.lm import lm_scores
+from cellspark.llm.packing import pack
 from cellspark.llm.simhash import simhash_components
+from cellspark.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), width=4, threshold=4)
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5_rows(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_lm": op3_lm,
+    "op4_langid": op4_langid,
+    "op5_mixing": op5_mixing,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_embeddings": op9_embeddings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE}
