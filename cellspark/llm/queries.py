@@ -14,7 +14,9 @@ from cellspark.llm.embedding_dedup import embedding_components
 from cellspark.llm.langid import language_scores
 from cellspark.llm.lm import lm_scores
 from cellspark.llm.packing import pack
+from cellspark.llm.pii import personal_data
 from cellspark.llm.simhash import simhash_components
+from cellspark.llm.substring_dedup import remove_repeats
 from cellspark.llm.toxicity import toxicity_scores
 
 
@@ -42,6 +44,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_rows(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -54,15 +60,21 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_lm": op3_lm,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE}
