@@ -1,9 +1,12 @@
 """Language-model scoring by subword lattice likelihood.
 
-The model draws pieces of a fixed public vocabulary independently; a text's probability is
-the product over its words of the sum over all segmentations, times an end. Piece
-probabilities come from EM over every word type of the training rows. Beside it stands an
-add-one unigram score over whole words.
+A text's probability is the product of its words' and an end's. A word's lattice has an
+edge for every substring that is a piece of a fixed public vocabulary, and for a word of
+the training rows one edge over all of it; the word's probability sums all paths, by a
+forward recursion in log space. Edges over whole words weigh c / (N + V), the paths of
+pieces together V / (N + V) (N words, V word types: the rate at which new words turned up).
+Piece probabilities come from EM over every word type of the training rows, each once, as
+it is new words that they have to spell. Beside it stands an add-one unigram score.
 
 Word types are joined to texts by 64-bit hash. The most frequent types (``head`` of them at
 most) go to all tasks; the rest, of which no single one is frequent, are joined.
@@ -75,16 +78,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     ends = rows.where("not held_out").count()
     total = types.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = int(total.n or 0) + ends, int(total.v) + (ends > 0)
-    logp, drawn = estimate(types.where("c > 0").select("word", F.array("c").alias("counts")), 1, path, rounds)
-    # After each piece the text goes on or ends.
-    end = (ends + 1) / (ends + drawn[0] + 2)
-    logp = logp[0] + math.log1p(-end)
+    logp, _ = estimate(types.where("c > 0").select("word", F.array(F.lit(1).cast("bigint")).alias("counts")), 1, path, rounds)
+    words, kinds = n - ends, v - (ends > 0)
+    # A token is an end or a word; without training rows all of it is spelled.
+    end = (ends + 1) / (n + 2)
+    spelled = math.log(kinds / (words + kinds)) if words else 0.0
 
     def score_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = lattice(path)
         for batch in batches:
             if batch.num_rows:
-                yield pa.record_batch([batch.column("h"), batch.column("c"), batch.column("m"), pa.array(grid.score(batch.column("word"), logp[None])[:, 0])], ["h", "c", "m", "p"])
+                c = batch.column("c").to_numpy()
+                with np.errstate(divide="ignore"):
+                    whole = np.log(c / max(1, words + kinds))
+                p = np.logaddexp(whole, spelled + grid.score(batch.column("word"), logp)[:, 0]) + math.log1p(-end)
+                yield pa.record_batch([batch.column("h"), batch.column("c"), batch.column("m"), pa.array(p)], ["h", "c", "m", "p"])
 
     scored = staged(types.select("h", "word", "c", (F.col("counts")[0] + F.col("counts")[1]).alias("m")).mapInArrow(score_types, "h bigint, c bigint, m bigint, p double"), "scored")
     # Types by occurrences, in steps of an eighth of a power of two: a few hundred rows.
