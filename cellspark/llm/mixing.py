@@ -3,8 +3,8 @@
 Every source's weighted share of the total is clamped at ``max_epochs`` times its size;
 what that leaves goes to the other sources by weight until none is above. A source's
 target is taken as whole repetitions of all its documents and a fractional one: documents
-in seeded hash order up to the rest of the target, the document at the border if that
-comes closer.
+in seeded hash order as long as they fit into the rest of the target, and of the others
+the one that fills the gap best, if that comes closer.
 """
 
 from __future__ import annotations
@@ -80,11 +80,18 @@ def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str
     plan = staged(plan, "plan")
     inside = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = small.join(plan, small.source.eqNullSafe(plan.of) & (small.bucket == plan.border)).withColumn("end", F.col("start") + F.sum("size").over(inside))
-    # Taken while that brings the sum closer to the target.
-    last = border.groupBy("source").agg(F.max(F.when((F.col("end") * 2 - F.col("size") <= F.col("rest") * 2) & (F.col("size") > 0), F.struct("key", "doc_id", "size"))).alias("last"))
-    plan = staged(plan.join(last, plan.of.eqNullSafe(last.source), "left").select("of", "source_size", "target", "whole", "border", "rest", "last"), "plan")
+    last = border.groupBy("source").agg(F.max(F.when(F.col("end") <= F.col("rest"), F.struct("key", "doc_id", "size", "end"))).alias("last"))
+    plan = plan.join(last, plan.of.eqNullSafe(last.source), "left").select(
+        "of", "source_size", "target", "whole", "border", "rest", F.struct("last.key", "last.doc_id", "last.size").alias("last"), F.col("last").isNotNull().alias("some"), (F.col("rest") - F.coalesce("last.end", "start")).alias("gap")
+    )
+    plan = staged(plan, "plan")
     mine = F.struct("key", "doc_id", "size")
-    extra = (F.col("rest") > 0) & ((F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & F.coalesce(mine <= F.col("last"), F.lit(False))))
+    fits = (F.col("rest") > 0) & ((F.col("bucket") < F.col("border")) | ((F.col("bucket") == F.col("border")) & F.col("some") & (mine <= F.col("last"))))
+    miss = F.abs(F.col("size") - F.col("gap"))
+    others = small.join(F.broadcast(plan) if _few(plan) else plan, small.source.eqNullSafe(plan.of)).where(~fits & (F.col("rest") > 0) & (F.col("size") > 0) & (miss < F.col("gap")))
+    filler = others.groupBy("of").agg(F.min(F.struct(miss.alias("miss"), "key", "doc_id", "size")).alias("f")).select(F.col("of").alias("filled"), F.struct("f.key", "f.doc_id", "f.size").alias("filler"))
+    plan = staged(plan.join(filler, plan.of.eqNullSafe(F.col("filled")), "left").drop("filled"), "plan")
+    extra = fits | F.coalesce(mine == F.col("filler"), F.lit(False))
     return (
         each.withColumn("bucket", F.substring("key", 1, 3))
         .join(F.broadcast(plan) if _few(plan) else plan, each.source.eqNullSafe(plan.of))
@@ -130,8 +137,11 @@ t AS (SELECT source, source_size,
 r AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS whole FROM t),
 e AS (SELECT d.*, r.source_size, r.target, r.whole, greatest(r.target - r.whole * r.source_size, 0) AS rest,
         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS at_end
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+h AS (SELECT *, rest - coalesce(max(CASE WHEN at_end <= rest THEN at_end END) OVER (PARTITION BY source), 0) AS gap FROM e),
+i AS (SELECT *, CASE WHEN rest > 0 AND at_end > rest AND size > 0 AND abs(size - gap) < gap THEN 1 ELSE 0 END AS could FROM h),
+j AS (SELECT *, row_number() OVER (PARTITION BY source, could ORDER BY abs(size - gap), k, doc_id, size) AS place FROM i)
 SELECT doc_id, size, source, source_size, target,
-       (size * (whole + CASE WHEN rest > 0 AND at_end * 2 - size <= rest * 2 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM e
+       (size * (whole + CASE WHEN (rest > 0 AND at_end <= rest) OR (could = 1 AND place = 1) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM j
 """
