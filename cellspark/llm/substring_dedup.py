@@ -26,7 +26,7 @@ from cellspark.llm.simhash import whole_groups
 
 GRAM = 8
 #: Suffixes that a task gathers before it looks for repeats among them.
-GATHER = 6_000_000
+GATHER = 1_500_000
 #: Bytes of a path fingerprint that are sent; together with the group's 8.
 TAG = 6
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -93,20 +93,21 @@ def repeat_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) -> D
     """``k1, k2, lo, hi``: ranges of first words of repeated windows, by row key."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[tuple] = []
         held: list[tuple] = []
-        size = 0
+        size = rows = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            k1, k2, start, group, path = (np.concatenate(x) for x in zip(*held))
+            k1, k2 = (np.concatenate(x) for x in zip(*names))
+            doc, start, group, path = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             twice, leads = repeated(blocks.mix(group + path * _ODD))
-            # A run: neighbouring suffixes of one row and group.
-            new = np.concatenate(([True], (np.diff(start) != 1) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (group[1:] != group[:-1])))
-            row = np.cumsum((start == 0) | np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))))
-            a, b = stretches(twice, row)
+            a, b = stretches(twice, doc)
             for i in range(0, len(a), 50_000):
                 x, y = a[i : i + 50_000], b[i : i + 50_000]
-                yield _batch(k1[x], k1[x], k2[x], start[x], start[y], None)
-            firsts = np.flatnonzero(new)
+                yield _batch(k1[doc[x]], k1[doc[x]], k2[doc[x]], start[x], start[y], None)
+            # A run: neighbouring suffixes of one row and group.
+            firsts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (group[1:] != group[:-1]))))
             lasts = np.append(firsts[1:], len(start))
             sent = np.flatnonzero(np.add.reduceat(leads, firsts) > 0)
             raw = path.view(np.uint8).reshape(-1, 8)[:, :TAG]
@@ -115,17 +116,17 @@ def repeat_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) -> D
                 offsets = np.concatenate(([0], np.cumsum((y - x) * TAG))).astype(np.int32)
                 flat = np.ascontiguousarray(raw[blocks.ragged(x, y - x)])
                 tags = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                yield _batch(group[x], k1[x], k2[x], start[x], start[y - 1], tags)
+                yield _batch(group[x], k1[doc[x]], k2[doc[x]], start[x], start[y - 1], tags)
 
         for part in blocks.slices(batches):
             doc, start, group, path = suffixes(*blocks.layout(part.column("text")), window)
-            if len(doc):
-                held.append((part.column("k1").to_numpy()[doc], part.column("k2").to_numpy()[doc], start, group, path))
-                size += len(doc)
+            names.append((part.column("k1").to_numpy(), part.column("k2").to_numpy()))
+            held.append(((doc + rows).astype(np.int32), start.astype(np.int32), group, path))
+            size, rows = size + len(doc), rows + part.num_rows
             if size >= GATHER:
                 yield from out()
-                held, size = [], 0
-        if held:
+                names, held, size, rows = [], [], 0, 0
+        if size:
             yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
