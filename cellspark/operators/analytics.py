@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cellspark.functions.vectors import argmax, dot, entropy, l1_distance, mean_vector, norm, sum_vector
 from cellspark.operators import kernels
@@ -120,7 +121,7 @@ def token_weights(tokens: DataFrame, vocabulary: DataFrame, beta: float = 10.0)
                 yield batch.drop(columns="_v").assign(weights=list(w))
 
     source = tokens.select("cell_id", "pos", F.col("token").cast("array<double>").alias("_v"))
-    return source.mapInPandas(run, source.drop("_v").schema.add("weights", "array<double>"))
+    return source.mapInPandas(run, source.drop("_v").schema.add("weights", ArrayType(DoubleType())))
 
 
 def pair_metrics(histograms: DataFrame, pairs: DataFrame, rows: int = 16, top: int = 10) -> DataFrame:

@@ -145,7 +145,7 @@ def assign(tokens: DataFrame, vocabulary: DataFrame, column: str = "token", carr
                 yield batch.drop(columns="_v").assign(word=names[at].astype(np.int32), distance2=d)
 
     source = tokens.select(*carry, F.col(column).cast("array<double>").alias("_v"))
-    return source.mapInPandas(run, source.drop("_v").schema.add("word", "int").add("distance2", "double"))
+    return source.mapInPandas(run, source.drop("_v").schema.add("word", "integer").add("distance2", "double"))
 
 
 def cluster_sizes(assigned: DataFrame, vocabulary: DataFrame) -> DataFrame:

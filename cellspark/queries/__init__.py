@@ -1,4 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries, named ``<id>_<short name>``, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from cellspark.queries import curation, layout, retrieval, vocabulary
+
+QUERIES = {**curation.QUERIES, **layout.QUERIES, **vocabulary.QUERIES, **retrieval.QUERIES}
+ORACLES = {**curation.ORACLES, **layout.ORACLES, **vocabulary.ORACLES, **retrieval.ORACLES}
