@@ -117,8 +117,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         in_head, where = doc[hit], at[hit]
         size = part.num_rows
         seen = np.bincount(in_head, counts[where] > 0, size).astype(np.int64)
-        base = np.bincount(in_head, np.log10(counts[where] + 1.0), size)
-        full = np.bincount(in_head, logs[where], size)
+        base = np.bincount(in_head, np.log10(counts[where] + 1.0), size).astype(float)
+        full = np.bincount(in_head, logs[where], size).astype(float)
         rest_doc, rest = doc[~hit], hashes[~hit].view(np.int64)
         offsets = np.searchsorted(rest_doc, np.arange(size + 1)).astype(np.int32)
         return pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(seen), pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest))], ["doc_id", "held_out", "n", "seen", "base", "full", "rest"])
