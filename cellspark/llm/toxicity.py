@@ -134,10 +134,13 @@ def toxicity_scores(
                 last = np.minimum(np.arange(len(starts)) + 4, np.repeat(first[1:], np.diff(first)) - 1)
                 h = blocks.byte_hashes(buf, starts, ends[last])
                 some = np.flatnonzero(np.diff(first))
-                key[some] = np.minimum.reduceat(h, first[:-1][some])
+                # Three independent minima: a passage that many texts share would have to be the least in all.
+                for salt in (1, 2, 3):
+                    key[some] = blocks.mix(key[some] + np.minimum.reduceat(blocks.mix(h + np.uint64(salt)), first[:-1][some]))
             yield pa.record_batch([part.column("y"), pa.array(key.view(np.int64)), part.column("text")], ["y", "near", "text"])
 
-    sample = staged(rows.join(picked, rows.doc_id == picked.label_id).select("y", "text").mapInArrow(near, "y int, near bigint, text string").dropDuplicates(["y", "near"]), "sample")
+    # About 2 * per_class short rows, whatever the input: they go to the texts.
+    sample = staged(rows.join(F.broadcast(picked), rows.doc_id == picked.label_id).select("y", "text").mapInArrow(near, "y int, near bigint, text string").dropDuplicates(["y", "near"]), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,12 +183,11 @@ def toxicity_scores(
     return rows.mapInArrow(blocks.in_blocks(score), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-_LEXICONS: dict[int, Lexicon] = {}
+_LEXICON: list = []
 
 
 def _lexicon(value: tuple) -> Lexicon:
-    """One for each broadcast value and process."""
-    if id(value) not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[id(value)] = Lexicon(*value)
-    return _LEXICONS[id(value)]
+    """Built once for each broadcast value and process; the value is held, so that another one can't have its identity."""
+    if not _LEXICON or _LEXICON[0] is not value:
+        _LEXICON[:] = [value, Lexicon(*value)]
+    return _LEXICON[1]
