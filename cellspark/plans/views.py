@@ -75,9 +75,8 @@ def detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = boxes(spark, sf_dir)
     corner = {"x0": F.col("label") * 10.0, "y0": F.col("pos") / 2 * 3.0, "x1": F.col("label") * 10.0 + F.col("bw"), "y1": F.col("pos") / 2 * 3.0 + F.col("bh") * 2}
     keyed = b.withColumns(corner).withColumn("image_id", F.expr("image div 4"))
-    unique = keyed.groupBy("image_id", F.xxhash64("image", "pos", "part", "supp").alias("_k")).agg(*[F.min(c).alias(c) for c in ("image", "pos", "part", "supp", "discount", "tax", *corner)])
     row_id = F.col("image") * 1_000_000 + F.col("part") * 7 + F.col("pos")
-    keyed = unique.withColumn("rid", row_id).groupBy("image_id", "rid").agg(*[F.min(c).alias(c) for c in ("pos", "discount", "tax", *corner)])
+    keyed = keyed.withColumn("rid", row_id).groupBy("image_id", "rid").agg(*[F.min(c).alias(c) for c in ("pos", "discount", "tax", *corner)])
     base = ["image_id", F.lit(1).alias("label"), *corner]
     score = F.round(F.col("discount") * 5 + F.col("tax") * 3, 6)
     return keyed.where("pos % 2 = 1").select(F.col("rid").alias("pred_id"), score.alias("score"), *base), keyed.where("pos % 2 = 0").select(F.col("rid").alias("gt_id"), *base)
@@ -108,6 +107,11 @@ SQL = {
         20 + l_quantity * 6 AS bw, (20.0 + l_linenumber * 40)::DOUBLE AS bh, l_discount AS discount, l_tax AS tax, l_partkey AS part, l_suppkey AS supp FROM lineitem))""",
     "cells": "cells AS (SELECT image, r::INT AS cell_row, c::INT AS cell_col, c * 512 AS x0, r * 512 AS y0, (c + 1) * 512 AS x1, (r + 1) * 512 AS y1 FROM (SELECT image, width, r, unnest(range(width // 512)) AS c FROM (SELECT *, unnest(range(height // 512)) AS r FROM images)))",
     "pixels": "pixels AS (SELECT user_id % 16 AS batch_id, value % 1 AS pred_prob, CASE WHEN event_type IN ('click', 'purchase', 'error') THEN 255 ELSE 100 END AS mask, event_id, value FROM events)",
+    "detections": """det AS (SELECT image // 4 AS image_id, image * 1000000 + part * 7 + pos AS rid, min(pos) AS pos, min(discount) AS discount, min(tax) AS tax, min(label * 10.0::DOUBLE) AS x0, min(pos / 2 * 3.0::DOUBLE) AS y0, min(label * 10.0::DOUBLE + bw) AS x1, min(pos / 2 * 3.0::DOUBLE + bh * 2) AS y1 FROM boxes GROUP BY 1, 2),
+      preds AS (SELECT image_id, rid AS pred_id, round(discount * 5 + tax * 3, 6) AS score, x0, y0, x1, y1 FROM det WHERE pos % 2 = 1), truths AS (SELECT image_id, rid AS gt_id, x0, y0, x1, y1 FROM det WHERE pos % 2 = 0)""",
+    "bigv": "bigv AS (SELECT word, list(v ORDER BY i) AS centroid FROM (SELECT (cell_id % 16)::INT AS word, i, avg(v) AS v FROM (SELECT cell_id, unnest(range(8)) AS i, unnest(token) AS v FROM big) GROUP BY 1, 2) GROUP BY word)",
+    "bighist": """bsoft AS (SELECT r, cell_id, word, exp(-10 * (1 - list_cosine_similarity(token, centroid))) AS e FROM (SELECT row_number() OVER () AS r, * FROM big), bigv),
+      bw AS (SELECT cell_id, word, e / sum(e) OVER (PARTITION BY r) AS w FROM bsoft), bhist AS (SELECT cell_id, word, sum(w) / sum(sum(w)) OVER (PARTITION BY cell_id) AS h FROM bw GROUP BY cell_id, word)""",
     "hist": """soft AS (SELECT cell_id, word, exp(-10 * (1 - list_dot_product(token, centroid) / (greatest(sqrt(list_dot_product(token, token)), 1e-8) * greatest(sqrt(list_dot_product(centroid, centroid)), 1e-8)))) AS e, vec_id, pos FROM tokens, vocabulary),
       weights AS (SELECT cell_id, pos, word, e / greatest(sum(e) OVER (PARTITION BY vec_id), 1e-8) AS w FROM soft),
       hist AS (SELECT cell_id, word, sum(w) / greatest(sum(sum(w)) OVER (PARTITION BY cell_id), 1e-8) AS h FROM weights GROUP BY cell_id, word)""",

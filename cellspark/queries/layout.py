@@ -130,7 +130,17 @@ def geo9(spark, sf_dir):
     return G.smoothness(rows).withColumn("smoothness", F.round("smoothness", 6))
 
 
-@_query("geo10_triplets")
+_DRAW = "('0x' || substr(md5('42:{0}:' || id), 1, 8))::BIGINT"
+
+
+@_query(
+    "geo10_triplets",
+    f"""{with_('images')}, k AS (SELECT image, (r * ceil(raw_w / 300) + c)::INT AS t, c * 300 AS x, r * 300 AS y, image || ':' || (r * ceil(raw_w / 300) + c)::INT AS id FROM (SELECT *, unnest(range(ceil(raw_w / 300)::INT)) AS c FROM (SELECT *, unnest(range(ceil(raw_h / 300)::INT)) AS r FROM images))),
+n AS (SELECT a.image, a.t, arg_min(b.t, md5('42:' || a.id || ':' || b.t)) AS near FROM k a JOIN k b ON a.image = b.image AND a.t <> b.t AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 900 GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY t) - 1 AS no FROM k), i AS (SELECT image, count(*) AS n, row_number() OVER (ORDER BY md5('42:' || image), image) - 1 AS ino, count(*) OVER () AS m FROM k GROUP BY image),
+o AS (SELECT z.*, n, CASE WHEN n > 1 THEN (no + 1 + {_DRAW.format('other')} % (n - 1)) % n ELSE no END AS ono, CASE WHEN m > 1 THEN (ino + 1 + {_DRAW.format('image')} % (m - 1)) % m ELSE ino END AS nno, {_DRAW.format('tile')} AS td FROM z JOIN i USING (image))
+SELECT o.image, o.t AS tile_idx, coalesce(near, a.t) AS pos_tile, near IS NOT NULL AS pos_near, g.image AS neg_image, c.t AS neg_tile FROM o JOIN z a ON a.image = o.image AND a.no = o.ono JOIN i g ON g.ino = o.nno JOIN z c ON c.image = g.image AND c.no = o.td % g.n LEFT JOIN n ON n.image = o.image AND n.t = o.t""",
+)
 def geo10(spark, sf_dir):
     tiles = G.covering_tiles(_raw(spark, sf_dir), 300, 300).select("image", "tile_idx", "x", "y")
     return G.triplets(tiles, 300)
@@ -176,13 +186,23 @@ def met4(spark, sf_dir):
     return n.crossJoin(M.weighted_mean(each, label="label").select(F.round("mean", 6).alias("mean")))
 
 
-@_query("met6_detection_ap")
+def _ap(thresholds: str) -> str:
+    """Matching and the area under the envelope, thresholds side by side."""
+    return f"""{with_('boxes', 'detections')}, o AS (SELECT p.image_id, p.pred_id, t.gt_id, greatest(0, least(p.x1, t.x1) - greatest(p.x0, t.x0)) * greatest(0, least(p.y1, t.y1) - greatest(p.y0, t.y0)) AS i, (p.x1 - p.x0) * (p.y1 - p.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) AS s FROM preds p JOIN truths t ON p.image_id = t.image_id),
+b AS (SELECT image_id, pred_id, max(i / (s - i)) AS iou, arg_max(gt_id, (i / (s - i), -gt_id)) AS gt_id FROM o GROUP BY 1, 2), e AS (SELECT p.image_id, p.pred_id, p.score, iou, gt_id, unnest({thresholds}) AS threshold FROM preds p LEFT JOIN b USING (image_id, pred_id)),
+m AS (SELECT *, coalesce(iou >= threshold, false) AS reach FROM e), f AS (SELECT *, CASE WHEN reach AND row_number() OVER (PARTITION BY threshold, image_id, CASE WHEN reach THEN gt_id END ORDER BY score DESC, pred_id) = 1 THEN 1 ELSE 0 END AS tp FROM m),
+c AS (SELECT threshold, score, pred_id, sum(tp) OVER w / ((SELECT count(*) FROM truths) + 1e-6) AS recall, sum(tp) OVER w / (count(*) OVER w + 1e-6) AS prec FROM f WINDOW w AS (PARTITION BY threshold ORDER BY score DESC, pred_id ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT threshold, recall - coalesce(lag(recall) OVER (PARTITION BY threshold ORDER BY score DESC, pred_id), 0) AS step, max(prec) OVER (PARTITION BY threshold ORDER BY score, pred_id DESC ROWS UNBOUNDED PRECEDING) AS env FROM c)
+SELECT threshold::DOUBLE AS threshold, count(*) AS predictions, (SELECT count(*) FROM truths) AS truths, round(sum(step * env), 6) AS ap FROM a GROUP BY threshold"""
+
+
+@_query("met6_detection_ap", _ap("[0.5::DOUBLE]"))
 def met6(spark, sf_dir):
     p, t = V.detections(spark, sf_dir)
     return M.average_precision(p, t, (0.5,)).withColumn("ap", F.round("ap", 6))
 
 
-@_query("met7_multi_threshold_ap")
+@_query("met7_multi_threshold_ap", _ap("[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]"))
 def met7(spark, sf_dir):
     p, t = V.detections(spark, sf_dir)
     return M.average_precision(p, t, tuple(round(0.1 * i, 1) for i in range(1, 10))).withColumn("ap", F.round("ap", 6))

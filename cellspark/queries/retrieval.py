@@ -144,3 +144,18 @@ def snk3(spark, sf_dir):
     parsed = M.parse_logs(_logs(spark, sf_dir)).groupBy(F.col("log").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
     newer = parsed.where("k % 2 = 0").withColumn("metrics", F.transform_values("metrics", lambda k, v: v + 1))
     return K.summary_columns(K.upsert_results(parsed, newer))
+
+
+def _lengths():
+    """A stand-in for a model: two numbers of each text."""
+    import numpy as np
+
+    return lambda frame: np.column_stack((frame["text"].str.len(), frame["text"].str.count(" ")))
+
+
+@_query("ext1_embed", "SELECT doc_id, len(text)::INT AS a, (len(text) - len(replace(text, ' ', '')))::INT AS b FROM documents")
+def ext1(spark, sf_dir):
+    from cellspark.sources.files import embed
+
+    out = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), _lengths, ["text"])
+    return out.select("doc_id", F.get("embedding", 0).cast("int").alias("a"), F.get("embedding", 1).cast("int").alias("b"))

@@ -140,10 +140,14 @@ def vec10b(spark, sf_dir):
     return _round(X.cluster_sizes(X.assign(V.tokens(spark, sf_dir), v), v), "share")
 
 
-@_query("vec10_assign_big")
+@_query(
+    "vec10_assign_big",
+    f"""{with_('big', 'bigv')}, n AS (SELECT r, arg_min(word, (round(list_distance(token, centroid), 9), word)) AS word FROM (SELECT row_number() OVER () AS r, * FROM big), bigv GROUP BY r),
+s AS (SELECT v.word, count(n.word) AS size FROM bigv v LEFT JOIN n ON n.word = v.word GROUP BY v.word) SELECT word, size, round(size / sum(size) OVER (), 6) AS share, size / sum(size) OVER () > 0.05 AS dominant FROM s""",
+)
 def vec10c(spark, sf_dir):
     v = V.big_vocabulary(spark, sf_dir)
-    return X.cluster_sizes(X.assign(V.big_tokens(spark, sf_dir), v), v)
+    return _round(X.cluster_sizes(X.assign(V.big_tokens(spark, sf_dir), v), v), "share")
 
 
 @_query("vec11_ground_cost", f"{with_('vocabulary')} SELECT a.word AS i, b.word AS j, CASE WHEN a.word = b.word THEN 0 ELSE round(least(1, greatest(0, 1 - list_cosine_similarity(a.centroid, b.centroid))), 6) END AS cost FROM vocabulary a, vocabulary b")
@@ -161,9 +165,12 @@ def vec12b(spark, sf_dir):
     return _flat(X.soft_histograms_by_cell(V.cell_major(spark, sf_dir), V.vocabulary(spark, sf_dir)), "histogram", ("cell_id",), "word", "h")
 
 
-@_query("vec12_soft_assign_big")
+_B = with_("big", "bigv", "bighist")
+
+
+@_query("vec12_soft_assign_big", f"{_B} SELECT cell_id, word, round(h, 6) AS h FROM bhist")
 def vec12c(spark, sf_dir):
-    return X.soft_histograms(V.big_tokens(spark, sf_dir), V.big_vocabulary(spark, sf_dir))
+    return _flat(X.soft_histograms(V.big_tokens(spark, sf_dir), V.big_vocabulary(spark, sf_dir)), "histogram", ("cell_id",), "word", "h")
 
 
 _STATS = f"""{_H}, c AS (SELECT cell_id, -sum(CASE WHEN h > 0 THEN h * ln(h + 1e-10) ELSE 0 END) AS e, count(*) FILTER (h < 1e-6) AS low, list_sum(list_reverse_sort(list(h))[1:5]) AS t5, list_sum(list_reverse_sort(list(h))[1:10]) AS t10 FROM hist GROUP BY cell_id),
@@ -301,9 +308,9 @@ def anl6(spark, sf_dir):
     return _round(A.activation_stats(histograms(spark, sf_dir)), "activation")
 
 
-@_query("anl6_activation_big")
+@_query("anl6_activation_big", f"{_B} SELECT word, round(sum(h), 4) AS activation, count(*) FILTER (h > 1.0::DOUBLE / 128) AS support FROM bhist GROUP BY word")
 def anl6b(spark, sf_dir):
-    return A.activation_stats(X.soft_histograms(V.big_tokens(spark, sf_dir), V.big_vocabulary(spark, sf_dir)))
+    return _round(A.activation_stats(X.soft_histograms(V.big_tokens(spark, sf_dir), V.big_vocabulary(spark, sf_dir))), "activation", digits=4)
 
 
 @_query(
