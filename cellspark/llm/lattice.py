@@ -152,7 +152,7 @@ def lattice(path: str) -> Lattice:
 class Lookup:
     """Values (several for each key) kept by 64-bit hash between the blocks of one task; emptied when it holds ``most`` keys."""
 
-    def __init__(self, width: int, most: int = 1_000_000):
+    def __init__(self, width: int, most: int = 500_000):
         self.most, self.width = most, width
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, width))
 
