@@ -96,8 +96,9 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.nd
     label = np.arange(len(every))
     step = max(1, 2_000_000 // max(1, len(guests)))
     for i in range(0, len(homes), step):
-        linked = np.bitwise_count(homes[i : i + step, None] ^ guests[None, :]) <= threshold
-        for k in np.flatnonzero(linked.sum(1) > 1):
+        apart = np.bitwise_count(homes[i : i + step, None] ^ guests[None, :])
+        linked = (apart > 0) & (apart <= threshold)  # a home's own copy may be among the guests or, in a cut anchor, in another cell
+        for k in np.flatnonzero(linked.any(1)):
             roots = np.unique(np.append(label[to[linked[k]]], label[at[i + k]]))
             if len(roots) > 1:
                 label[np.isin(label, roots)] = roots[0]
@@ -154,7 +155,7 @@ def _links(prints: DataFrame, threshold: int) -> DataFrame:
             cut = np.flatnonzero(np.diff(task)) + 1
             for a, b in zip([0, *cut], [*cut, len(task)]):
                 v, h = fp[a:b].view(np.uint64), home[a:b]
-                if h.any() and b - a > 2:
+                if h.any() and not h.all():
                     x, y = forest(v[h], v[~h], threshold)
                     if len(x):
                         yield pa.record_batch([_longs(x), _longs(y)], ["a", "b"])

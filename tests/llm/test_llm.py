@@ -149,6 +149,26 @@ def test_covering_finds_all_links(spark):
         simhash.CELL = old
 
 
+def test_isolated_pairs_in_cut_anchors(spark, monkeypatch):
+    """Pairs without other partners, all beside the same anchors, are found when these are cut into many cells."""
+    rng = np.random.default_rng(6)
+    flip = lambda x, low, size, n: x ^ sum(1 << (low + int(k)) for k in rng.choice(size, n, replace=False))
+    prints = []
+    for _ in range(60):
+        x = 0
+        for low, size in simhash.PARTS:
+            x = flip(x, low, size, 3)
+        y = flip(x, 0, 64, 4)
+        if all(bin(a ^ b).count("1") > 4 for a in (x, y) for b in prints):
+            prints += [x, y]
+    assert len(prints) > 80
+    for cell in (2, 20, 10**6):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in prints], "fp bigint")
+        got = {frozenset((r.node % 2**64, r.root % 2**64)) for r in connected_components(simhash._links(table, 4)).collect()}
+        assert got == {frozenset(prints[i : i + 2]) for i in range(0, len(prints), 2)}
+
+
 def jaccard_components(rows, least):
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for _, t in rows for w in [t.encode().lower().split()]]
     root = list(range(len(rows)))
