@@ -211,10 +211,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return each.join(named, each.fp == named.of).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a wide fingerprint, and its blocks (first bit, number of bits): at a similarity of
-#: 0.8 some 39 bits differ, and one of twelve blocks differs in at most one bit in most pairs.
+#: Bits of a wide fingerprint.
 WIDE = 256
-WIDE_PARTS = tuple((i * WIDE // 12, (i + 1) * WIDE // 12 - i * WIDE // 12) for i in range(12))
 
 
 def wide_fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
@@ -238,126 +236,151 @@ def wide_fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: in
     return out
 
 
-def wide_forest(at: np.ndarray, to: np.ndarray, prints: np.ndarray, most: int) -> np.ndarray:
-    """A label for each of ``prints``: equal for those joined by links of at most ``most`` bits between rows ``at`` and ``to``."""
-    label = np.arange(len(prints))
-    step = max(1, 200_000 // max(1, len(to)))
-    first = most // prints.shape[1] + 16  # a link has few differing bits in any one word; what this lets through is compared in full
-    for i in range(0, len(at), step):
-        part = at[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(prints[part, 0][:, None] ^ prints[to, 0][None, :]) <= first)
-        keep = part[a] != to[b]
-        a, b = part[a[keep]], to[b[keep]]
-        near = np.bitwise_count(prints[a] ^ prints[b]).sum(1, dtype=np.int64) <= most
-        a, b = a[near], b[near]
-        firsts = np.flatnonzero(np.diff(a, prepend=-1))
-        for x, lo, hi in zip(a[firsts], firsts, [*firsts[1:], len(a)]):
-            roots = np.unique(np.append(label[b[lo:hi]], label[x]))
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
-    return label
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the word shingles of a block's documents, one document after another, and how many each has."""
+    buf = blocks.LOWER[buf]
+    starts, ends, first = blocks.words(buf, offsets)
+    n = np.diff(first)
+    many = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
+    full = np.flatnonzero(many)
+    if not len(full):
+        return np.zeros(0, np.uint64), many
+    flat, starts, ends = blocks.squeeze(buf, starts, ends)
+    begin = blocks.ragged(first[:-1][full], many[full])
+    end = begin + np.repeat(np.minimum(n[full], width) - 1, many[full])
+    return blocks.xxh64(flat, starts[begin], ends[end], seed), many
 
 
-def _wide_links(prints: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) between rows of ``pid, bits``: the same covering as ``_links``, on twelve blocks."""
-    table, count = covering_table(RADIUS + 1)
-    cells_in_all = len(WIDE_PARTS) * ANCHORS
+#: Bands of a MinHash signature and values in each: a pair at a similarity of 0.8 shares a band
+#: with probability 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
+BANDS, ROWS = 20, 5
+#: Shingles in one side of a verification cell, about.
+SHINGLES = 2_000_000
 
-    def blocks_of(column: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDE // 8)
-        bits = np.unpackbits(raw, axis=1, bitorder="little")
-        out = []
-        for part, (low, size) in enumerate(WIDE_PARTS):
-            x = (bits[:, low : low + size].astype(np.int64) << np.arange(size)).sum(1)
-            s = _syndrome(x)
-            who = np.repeat(np.arange(len(x)), count[s])
-            rank = blocks.ragged(np.zeros(len(x), np.int64), count[s])
-            out.append((who, part * ANCHORS + ((x[who] ^ table[s[who], rank]) >> 11), rank == 0))
-        return raw, out
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, cells_in_all), np.int64)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 20_000):
-                for _, cells, home in blocks_of(batch.column("bits").slice(part, 20_000))[1]:
-                    both[0] += np.bincount(cells[home], minlength=cells_in_all)
-                    both[1] += np.bincount(cells, minlength=cells_in_all)
-        here = np.flatnonzero(both[1])
-        yield pa.record_batch([pa.array(here), pa.array(both[0][here]), pa.array(both[1][here])], ["cell", "homes", "guests"])
-
-    # At most 12 * 4096 rows, whatever the input.
-    counted = prints.mapInArrow(sizes, "cell bigint, homes bigint, guests bigint").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests")).collect()
-    rows, columns = np.ones(cells_in_all, np.int64), np.ones(cells_in_all, np.int64)
-    for r in counted:
-        rows[r.cell], columns[r.cell] = max(1, -(-r.homes // CELL)), max(1, -(-r.guests // CELL))
+def minhash_bands(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """One key for each band, [document, band]; documents of similar shingle sets share keys. Zeros for a document without shingles."""
+    out = np.zeros((len(many), BANDS), np.uint64)
+    full = np.flatnonzero(many)
+    if len(full):
+        at = np.cumsum(many[full]) - many[full]
+        factors = blocks.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        for band in range(BANDS):
+            key = np.full(len(full), band + 1, np.uint64)
+            for factor in factors[band * ROWS : (band + 1) * ROWS]:
+                key = blocks.mix(key ^ np.minimum.reduceat(hashes * factor, at))
+            out[full, band] = key
+    return out
+
+
+def jaccard_labels(sets: list[np.ndarray], at: np.ndarray, to: np.ndarray, least: float) -> np.ndarray:
+    """A label for each of ``sets`` (distinct values): equal for those joined by pairs, between rows ``at`` and ``to``, of a similarity of ``least`` or more."""
+    label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    first = np.cumsum(size) - size
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    there = code[blocks.ragged(first[to], size[to])]
+    begin = np.cumsum(size[to]) - size[to]
+    mark = np.zeros(len(values), bool)
+    for i in at:
+        if (label[to] == label[i]).all():
+            continue
+        mine = code[first[i] : first[i] + size[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[there], begin, dtype=np.int64)
+        mark[mine] = False
+        near = both >= least * (size[i] + size[to] - both)
+        roots = np.unique(np.append(label[to[near]], label[i]))
+        if len(roots) > 1:
+            label[np.isin(label, roots)] = roots[0]
+    return label
+
+
+def _candidates(prints: DataFrame) -> DataFrame:
+    """``pid, comp`` of the rows of ``pid, bands, n`` that share a band with another, joined over shared bands."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 5_000):
-                piece = batch.slice(part, 5_000)
-                pid = piece.column("pid").to_numpy()
-                _, found = blocks_of(piece.column("bits"))
-                salt = blocks.mix(pid.view(np.uint64))
-                for who, cells, home in found:
-                    out = []
-                    for is_home, own, other in ((True, rows, columns), (False, columns, rows)):
-                        pick = home if is_home else ~home | (rows[cells] * columns[cells] > 1)
-                        w, c = who[pick], cells[pick]
-                        times = other[c]
-                        mine = np.repeat((salt[w] % own[c].astype(np.uint64)).astype(np.int64), times)
-                        yours = blocks.ragged(np.zeros(len(c), np.int64), times)
-                        row, column = (mine, yours) if is_home else (yours, mine)
-                        out.append((np.repeat(c, times) << 40 | row << 20 | column, np.repeat(w, times), np.full(int(times.sum()), is_home)))
-                    task, w, is_home = (np.concatenate(x) for x in zip(*out))
-                    yield pa.record_batch([pa.array(task), pa.array(pid[w]), pa.array(is_home), piece.column("bits").take(pa.array(w))], ["task", "pid", "home", "bits"])
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8")
+            yield pa.record_batch([_longs(keys), pa.array(np.repeat(batch.column("pid").to_numpy(), BANDS))], ["bucket", "pid"])
+
+    dealt = prints.where("n > 0").select("pid", "bands").mapInArrow(deal, "bucket bigint, pid bigint")
+    crowded = dealt.groupBy("bucket").agg(F.min("pid").alias("low"), F.count("*").alias("many")).where("many > 1").select("bucket", "low")
+    joined = connected_components(dealt.join(crowded.hint("merge"), "bucket").select(F.col("pid").alias("a"), F.col("low").alias("b")))
+    return joined.select(F.col("node").alias("pid"), F.col("root").alias("comp")).unionByName(joined.select(F.col("root").alias("pid"), F.col("root").alias("comp")).distinct())
+
+
+def _verified(rows: DataFrame, prints: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges (a, b) between rows of ``prints`` that connect all candidates of a similarity of ``least`` or more; large groups of candidates are cut into cells, all of which are compared."""
+    piece = max(1, CELL // 8)
+    member = staged(prints.select("pid", "kid", "tid", "n").join(_candidates(prints).hint("merge"), "pid"), "members")
+    pieces = F.greatest(F.ceil(F.count("*") / piece), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    cut = member.join(member.groupBy("comp").agg(pieces.alias("pieces")), "comp")
+    chosen = cut.select("kid", "tid", "pid", "comp", "pieces", F.pmod(F.xxhash64("pid"), "pieces").cast("int").alias("mine"))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, many = shingle_hashes(*blocks.layout(part.column("text")), width)
+        sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(many)[:-1])]
+        names = ["pid", "comp", "pieces", "mine"]
+        return pa.record_batch([*map(part.column, names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, pid, home, bits in whole_groups(batches, 50_000):
-            cut = np.flatnonzero(np.diff(task)) + 1
-            for a, b in zip([0, *cut], [*cut, len(task)]):
-                if b - a < 2 or not home[a:b].any():
-                    continue
+        for task, pid, side, shingles in whole_groups(batches, 5_000):
+            edge = np.flatnonzero(np.diff(task)) + 1
+            for a, b in zip([0, *edge], [*edge, len(task)]):
                 ids, place = np.unique(pid[a:b], return_index=True)
-                prints = np.frombuffer(b"".join(bits[a:b][place]), "<u8").reshape(len(ids), -1)
-                label = wide_forest(np.unique(np.searchsorted(ids, pid[a:b][home[a:b]])), np.arange(len(ids)), prints, most)
+                at, to = np.flatnonzero(side[a:b][place] <= 0), np.flatnonzero(side[a:b][place] >= 0)
+                if len(ids) < 2 or not len(at) or not len(to):
+                    continue
+                label = jaccard_labels([np.frombuffer(x, "<u8") for x in shingles[a:b][place]], at, to, least)
                 moved = np.flatnonzero(label != np.arange(len(ids)))
                 if len(moved):
                     yield pa.record_batch([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
 
+    sets = rows.join(chosen.hint("merge"), ["kid", "tid"]).select("pid", "comp", "pieces", "mine", "text").mapInArrow(blocks.in_blocks(run), "pid bigint, comp bigint, pieces int, mine int, shingles binary")
+    dealt = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("yours"))
+    # Side: zero in a cell of one piece with itself, else which of the two pieces.
+    dealt = dealt.select(F.xxhash64("comp", F.least("mine", "yours"), F.greatest("mine", "yours")).alias("task"), "pid", F.signum(F.col("mine") - F.col("yours")).cast("int").alias("side"), "shingles")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prints.select("pid", "bits").mapInArrow(deal, "task bigint, pid bigint, home boolean, bits binary")
     return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(compare, "a bigint, b bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, without the near copies: of each component the row of the smallest id stays.
 
-    Texts link if at most ``most`` of the 256 bits of their fingerprints differ; 42 bits are
-    expected at a similarity (Jaccard, of sets of ``width``-word shingles) of 0.77, with a
-    deviation of six bits. Such a pair is compared if one of twelve blocks differs in at most
-    one bit: some 87 % of pairs
-    at a similarity of 0.8, 97 % at 0.85, nearly all above 0.9, and members of larger groups
-    the more often as any path joins them. Rows with null ids come last in that order; rows
-    with equal ids and texts are copies, of which one stays. Wordless texts are copies of
-    each other.
+    Texts link if the similarity (Jaccard) of their sets of ``width``-word shingles, lower
+    case, is ``least`` or more, by the sets themselves. Pairs to compare are those joined over
+    shared bands of MinHash signatures: at a similarity of 0.8 a pair shares one with probability
+    0.9996, more above it. Rows with null ids come last in that order; rows with equal ids and
+    texts are copies, of which one stays. Wordless texts are copies of each other.
     """
-    if "_kid" in docs.columns:
-        raise ValueError("the column name _kid is taken")
+    if {"_kid", "_tid"} & set(docs.columns):
+        raise ValueError("the column names _kid and _tid are taken")
     text = F.col(text_col).cast("string")
-    # A null id is replaced by a large number from the text.
+    # A null id is replaced by a large number from the text. An id may come with several texts.
     kid = F.coalesce(F.col(id_col).cast("bigint"), F.pmod(F.xxhash64(text), F.lit(1 << 62)) + F.lit(1 << 62))
+    rows = docs.select(kid.alias("kid"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        prints = wide_fingerprints(*blocks.layout(part.column("text")), width)
-        return pa.record_batch([part.column("kid"), pa.array([x.tobytes() for x in prints], pa.binary())], ["kid", "bits"])
-
-    each = staged(docs.select(kid.alias("kid"), text.alias("text")).mapInArrow(blocks.in_blocks(run), "kid bigint, bits binary"), "fingerprints")
-    prints = staged(each.groupBy("bits").agg(F.min("kid").alias("least")).select(F.monotonically_increasing_id().alias("pid"), "bits", "least"), "prints")
-    roots = connected_components(_wide_links(prints, most))
-    rooted = prints.join(roots, F.col("pid") == F.col("node"), "left").select("least", F.coalesce("root", "pid").alias("root"))
-    keep = staged(rooted.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep"), "kept")
-    keyed = docs.withColumn("_kid", kid)
-    # The kept ids grow with the input and are never sent to all tasks.
-    kept = keyed.join(keep.hint("merge"), keyed["_kid"] == keep["_keep"], "left_semi")
-    repeated = each.groupBy("kid").agg(F.count("*").alias("n")).where("n > 1").join(keep, F.col("kid") == F.col("_keep"), "left_semi").limit(1).count()
-    return (kept.dropDuplicates(["_kid"]) if repeated else kept).drop("_kid")
+        hashes, many = shingle_hashes(*blocks.layout(part.column("text")), width)
+        # Texts with the same shingles, as often each, have the same sums.
+        sums = np.zeros((2, len(many)), np.uint64)
+        full = np.flatnonzero(many)
+        if len(full):
+            at = np.cumsum(many[full]) - many[full]
+            for k in range(2):
+                sums[k, full] = np.add.reduceat(blocks.mix(hashes + np.uint64(k)), at)
+        bands = pa.array([x.tobytes() for x in minhash_bands(hashes, many)], pa.binary())
+        return pa.record_batch([part.column("kid"), part.column("tid"), _longs(sums[0]), _longs(sums[1]), pa.array(many), bands], ["kid", "tid", "s1", "s2", "n", "bands"])
+
+    each = staged(rows.mapInArrow(blocks.in_blocks(run), "kid bigint, tid bigint, s1 bigint, s2 bigint, n bigint, bands binary"), "signatures")
+    alike = each.groupBy("s1", "s2", "n").agg(F.min(F.struct("kid", "tid")).alias("first"), F.min("bands").alias("bands"))
+    prints = staged(alike.select(F.monotonically_increasing_id().alias("pid"), "first.kid", "first.tid", "n", "bands"), "prints")
+    roots = connected_components(_verified(rows, prints, width, least))
+    rooted = prints.join(roots, F.col("pid") == F.col("node"), "left").select("kid", "tid", F.coalesce("root", "pid").alias("root"))
+    keep = staged(rooted.groupBy("root").agg(F.min(F.struct("kid", "tid")).alias("first")).select(F.col("first.kid").alias("_kid"), F.col("first.tid").alias("_tid")), "kept")
+    keyed = docs.withColumns({"_kid": kid, "_tid": F.xxhash64(text)})
+    # The kept rows grow with the input and are never sent to all tasks.
+    kept = keyed.join(keep.hint("merge"), ["_kid", "_tid"], "left_semi")
+    repeated = each.groupBy(F.col("kid").alias("_kid"), F.col("tid").alias("_tid")).agg(F.count("*").alias("many")).where("many > 1").join(keep, ["_kid", "_tid"], "left_semi").limit(1).count()
+    return (kept.dropDuplicates(["_kid", "_tid"]) if repeated else kept).drop("_kid", "_tid")

@@ -211,6 +211,26 @@ def test_drop_near_duplicates(spark, docs, odd):
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_limit(spark, monkeypatch):
+    """Pairs at a similarity of 0.804 lose a copy, those at 0.775 don't, nor does another text under a kept id; also where candidates are cut into cells."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(300):
+        w = [f"w{k}" for k in rng.integers(0, 10**6, 280)]
+        v = list(w)
+        for k in range(6 if i < 200 else 7):
+            v[20 + 35 * k] = "changed"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    rows += [(0, rows[3][1]), (0, " ".join(f"own{k}" for k in range(50)))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for cell in (simhash.CELL, 8):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        left = collections.Counter(i for i, _ in texts(simhash.drop_near_duplicates(d)))
+        # The copy under id 0 takes the place of row 1.
+        assert left[0] == 3 and left[1] == 0 and all(left[i] == 1 for i in range(2, 300)) and all(left[1000 + i] == 1 for i in range(200, 300))
+        assert sum(left[1000 + i] for i in range(200)) <= 1
+
+
 def test_wide_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 3)
     base = " ".join(f"w{i}" for i in range(400))
