@@ -3,8 +3,9 @@
 Base spans come from four patterns. Each of their values is a protected entity. How
 strongly a term discloses an entity is their pointwise mutual information over the corpus,
 as a share of the entity's own information: 1 if the term occurs with that entity only.
-Terms beside an entity that reach ``disclosure``, in at least ``evidence`` different
-contexts (copies of a text count once), are hidden in the documents that hold the entity.
+Terms of an entity's documents that reach ``disclosure``, and come with entities of its kind
+in at least ``evidence`` different contexts (copies of a text count once), are hidden in the
+documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -77,33 +78,40 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.when(GATES[k](t), spans(t, F.lit(p), VALID[k])).otherwise(F.array().cast(_SPANS)).alias(f"_{k}") for k, p in PATTERNS.items()])
 
 
-def disclosing_terms(found: DataFrame, context: int = 60, nearest: int = 5, evidence: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """``k1, k2, terms`` of the rows of ``found`` in which a term beside an entity discloses it."""
-    entities = lambda k: F.transform(f"_{k}", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.concat(F.lit(f"{k}:"), F.lower(x.m)).alias("entity")))
-    entity = F.explode(F.concat(*map(entities, PATTERNS)))
-    some = staged(found.where(F.size(F.concat(*[F.col(f"_{k}") for k in PATTERNS])) > 0).select("k1", "k2", "_t", entity.alias("x")).select(
-        "k1", "k2", "x.entity",
-        F.expr(f"substring(_t, greatest(x.s - {context}, 0) + 1, x.s - greatest(x.s - {context}, 0))").alias("left"),
-        F.expr(f"substring(_t, x.e + 1, {context})").alias("right"),
-    ), "entities")
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{4,}"), F.lit(0))
-    left = words(F.col("left"))
-    near = F.array_distinct(F.concat(F.slice(F.reverse(left), 1, nearest), F.slice(words(F.col("right")), 1, nearest)))
-    pairs = some.select("k1", "k2", "entity", F.xxhash64("left", "right").alias("context"), F.explode(near).alias("term")).distinct()
-    n_entity = some.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = (
-        pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= evidence)
-    )
-    # A term's documents are at least those that have it beside any entity. Terms too frequent by that bound are out
-    # before all words of all texts are looked at.
-    beside = pairs.select("term", "k1", "k2").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+def disclosing_terms(found: DataFrame, context: int = 60, evidence: int = 3, disclosure: float = 0.8) -> DataFrame:
+    """``k1, k2, terms`` of the rows of ``found`` in which a term anywhere in the text discloses an entity of the text.
+
+    Words of four letters or more outside e-mail addresses are terms. The evidence of a term is
+    in how many different contexts, of different documents, it comes with the entity's kind, so
+    that an entity seen once can be given away too; the disclosure is that of the entity itself.
+    """
+    entities = lambda k: F.transform(f"_{k}", lambda x: F.struct(F.lit(k).alias("kind"), x.s.alias("s"), x.e.alias("e"), F.concat(F.lit(f"{k}:"), F.lower(x.m)).alias("entity")))
+    every = F.concat(*map(entities, PATTERNS))
+    beside = f"transform(_x, x -> struct(x.kind, x.entity, xxhash64(substring(_t, greatest(x.s - {context}, 0) + 1, x.s - greatest(x.s - {context}, 0)), substring(_t, x.e + 1, {context})) AS context))"
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    bare = F.regexp_replace("_t", PATTERNS["email"], " ")
+    holders = staged(found.where(F.size(F.concat(*[F.col(f"_{k}") for k in PATTERNS])) > 0).select("k1", "k2", "_t", every.alias("_x")).select("k1", "k2", words(bare).alias("words"), F.expr(beside).alias("x")), "holders")
+    seen = holders.select("k1", "k2", F.explode("x").alias("x")).select("k1", "k2", "x.kind", "x.entity", "x.context")
+    n_entity = seen.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = F.lit(float(max(found.count(), 1)))
-    share = lambda n: F.log2(F.col("n_both") * total / (F.col(n) * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
-    together = together.join(n_entity, "entity").join(beside, "term").where((F.col("n_entity") < total) & (share("n_beside") >= disclosure))
-    together = staged(together, "together")
+    whose = staged(seen.select("k1", "k2", "kind", "entity").distinct().join(n_entity, "entity").where(F.col("n_entity") < total), "entities")
+    terms = holders.select("k1", "k2", F.explode("words").alias("term")).distinct()
+    # A document counts with one context for each kind, whatever the number of its entities.
+    contexts = seen.groupBy("k1", "k2", "kind").agg(F.min("context").alias("context"))
+    shown = terms.join(contexts, ["k1", "k2"]).groupBy("kind", "term", "context").agg(F.lit(1).alias("one")).groupBy("kind", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= evidence)
     # How many documents hold each term: words are counted before they meet the candidates, as a candidate may be frequent.
-    held = found.select(F.explode(F.array_distinct(words(F.col("_t")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    telling = together.join(held, "term").where(share("n_term") >= disclosure).select("entity", "term")
+    held = found.select(F.explode(words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # A term in more documents than this can't reach the disclosure of any entity of the kind, as they have at most n_entity in common.
+    bound = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
+    most = whose.groupBy("kind").agg(F.max("n_entity").alias("most"))
+    candidates = staged(shown.join(held, "term").join(most, "kind").where(F.col("n_term") <= bound(F.col("most"))).select("kind", "term", "n_term"), "candidates")
+    inside = terms.join(candidates, "term")
+    pairs = staged(
+        inside.join(whose, ["k1", "k2", "kind"]).where(F.col("n_term") <= bound(F.col("n_entity"))).select("k1", "k2", "entity", "term", "n_term", "n_entity"),
+        "pairs",
+    )
+    share = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
+    telling = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(F.count("*").alias("n_both")).where(share >= disclosure).select("entity", "term")
     return pairs.join(telling, ["entity", "term"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 

@@ -503,6 +503,16 @@ def test_pii_terms(spark):
     assert f"term:{at}:{at + 7}" in got[0].spans
 
 
+def test_pii_single_entities(spark):
+    """A name gives away addresses that come once each, from anywhere in the text."""
+    far = "common words today then from wrote nothing " * 4
+    rows = [(i, f"filler{i} Quixley {far} write {i} to person{i}@site{i}.example soon {far}") for i in range(3)]
+    rows += [(100 + i, f"common words today then from number{i} wrote nothing soon write site filler") for i in range(996)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[0][1].index("Quixley")
+    assert all(got[i].spans.endswith(f",term:{at}:{at + 7}") and got[i].n_term == 1 for i in range(3)) and all(got[100 + i].n_term == 0 for i in range(996))
+
+
 # The pipeline.
 def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
