@@ -49,7 +49,7 @@ def ret1(spark, sf_dir):
 
 @_query("ret2_ivf")
 def ret2(spark, sf_dir):
-    return R.ivf_top_k(_queries(spark, sf_dir), _base(spark, sf_dir), 10, lists=16, probes=4).withColumn("score", F.round("score", 6))
+    return R.ivf_top_k(_queries(spark, sf_dir), _base(spark, sf_dir), 10, lists=16, probes=12).withColumn("score", F.round("score", 6))
 
 
 @_query("ret3_metrics", f"WITH {_TOP}, {_METRICS.format(keys='')} SELECT k, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(ap), 6) AS map FROM a GROUP BY k")

@@ -45,3 +45,9 @@ def test_learned(spark):
     ivf = QUERIES["ret2_ivf"](spark, SF).toPandas()
     exact = QUERIES["ret1_top_k"](spark, SF).toPandas()
     assert len(ivf.merge(exact, on=["query_id", "item_id"])) > 0.3 * len(exact)
+
+
+def test_ivf_recall(spark):
+    ivf = QUERIES["ret2_ivf"](spark, SF).toPandas()
+    exact = QUERIES["ret1_top_k"](spark, SF).toPandas()
+    assert len(ivf.merge(exact, on=["query_id", "item_id"])) >= 0.9 * len(exact)
