@@ -1,7 +1,7 @@
 """Subword lattices over a fixed public vocabulary: marginal word probabilities and EM.
 
 A word is the bytes of a space and the word; its lattice has an edge for every substring
-that is a piece of the vocabulary. A word's probability sums all segmentations (forward
+that is a piece of the vocabulary, found exactly by a walk down the trie of pieces. A word's probability sums all segmentations (forward
 recursion in log space); expected piece counts come from forward and backward together.
 All single bytes are pieces, so every word has a segmentation.
 """
@@ -9,6 +9,7 @@ All single bytes are pieces, so every word has a segmentation.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 
 from cellspark.llm import blocks
 
-CHUNK = 20_000
+#: Bytes of words that are worked on at once.
+CHUNK = 65_536
+#: Words with more bytes are summed edge by edge, one word after another.
+LONG = 2048
 
 
 def default_vocabulary() -> str:
@@ -29,7 +33,12 @@ def default_vocabulary() -> str:
 
 
 class Lattice:
-    """Pieces of a vocabulary file in the ``tiktoken`` rank format that can occur in a word: without white space but for one space in front."""
+    """Pieces of a vocabulary file in the ``tiktoken`` rank format that can occur in a word: without white space but for one space in front.
+
+    They form a trie. Nodes are numbered by depth, parent and byte, so that a node's children
+    are neighbours: a node has 256 bits that say which bytes go on, in four words, and for each
+    word the number of the first child.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -37,106 +46,189 @@ class Lattice:
         usable = {p for p in pieces if p and not blocks.SPACE[np.frombuffer(p[1:] or b"x", np.uint8)].any()} | {bytes([b]) for b in range(256)}
         self.pieces = sorted(usable)
         size = np.array([len(p) for p in self.pieces])
-        flat = np.frombuffer(b"".join(self.pieces), np.uint8)
-        ends = np.cumsum(size)
-        hashes = blocks.byte_hashes(flat, ends - size, ends)
         self.longest = int(size.max())
-        self.tables: list[tuple[np.ndarray, np.ndarray, int]] = []
-        left, shift = np.arange(len(hashes)), 0
-        while len(left):
-            slot = ((hashes[left] >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            keys, ids = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-            keys[slot[first]], ids[slot[first]] = hashes[left[first]], left[first]
-            self.tables.append((keys, ids, shift))
-            left, shift = np.delete(left, first), shift + 20
+        table = np.zeros((len(size), self.longest), np.int64)
+        table[np.repeat(np.arange(len(size)), size), blocks.ragged(np.zeros(len(size), np.int64), size)] = np.frombuffer(b"".join(self.pieces), np.uint8)
+        node, nodes, keys = np.zeros(len(size), np.int64), 1, []
+        ends = [np.array([-1])]
+        for depth in range(self.longest):
+            on = np.flatnonzero(size > depth)
+            key, inverse = np.unique(node[on] << 8 | table[on, depth], return_inverse=True)
+            node[on] = nodes + inverse
+            keys.append(key)
+            nodes += len(key)
+            end = np.full(len(key), -1)
+            last = on[size[on] == depth + 1]
+            end[node[last] - (nodes - len(key))] = last
+            ends.append(end)
+        self.piece = np.concatenate(ends).astype(np.int32)
+        key = np.concatenate(keys)
+        word = key >> 6
+        self.bits = np.zeros(nodes * 4, np.uint64)
+        np.bitwise_or.at(self.bits, word, np.uint64(1) << (key & 63).astype(np.uint64))
+        self.child = np.zeros(nodes * 4, np.int32)
+        words, first = np.unique(word, return_index=True)
+        self.child[words] = first + 1
 
     def __len__(self) -> int:
         return len(self.pieces)
 
-    def _edges(self, buf: np.ndarray, longest: int) -> list[np.ndarray]:
-        """For each length 1, 2, …: the piece that ends before each position, or -1."""
-        power, inverse = blocks._powers(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(blocks.BYTE_CODES[buf] * power[: len(buf)], out=total[1:])
+    def edges(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of every piece in ``flat`` that begins at a position and does not pass that position's end."""
+        at = np.arange(len(ends))
+        node = np.zeros(len(ends), np.int64)
         out = []
-        for size in range(1, min(longest, self.longest) + 1):
-            h = blocks.mix((total[size:] - total[:-size]) * inverse[: len(buf) + 1 - size] + np.uint64(size))
-            found = np.full(len(buf) + 1, -1, np.int32)
-            mine = found[size:]
-            for keys, ids, shift in self.tables:
-                slot = ((h >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int64)
-                hit = keys[slot] == h
-                mine[hit] = ids[slot[hit]]
-            out.append(found)
-        return out
-
-    def _chunks(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Words by falling length, a space in front of each: their numbers, bytes, starts and lengths. Long words come in smaller chunks."""
+        for depth in range(self.longest):
+            byte = flat[at + depth].astype(np.int64)
+            word = node * 4 + (byte >> 6)
+            bit, have = np.uint64(1) << (byte & 63).astype(np.uint64), self.bits[word]
+            hit = np.flatnonzero(have & bit)
+            node = self.child[word[hit]] + np.bitwise_count(have[hit] & (bit[hit] - np.uint64(1))).astype(np.int64)
+            at = at[hit]
+            piece = self.piece[node]
+            full = np.flatnonzero(piece >= 0)
+            out.append((at[full], np.full(len(full), depth + 1), piece[full]))
+            on = np.flatnonzero(ends[at] > at + depth + 1)
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _chunks(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words by falling length, a space in front of each: their numbers, bytes and lengths. Long words come one by one, others in chunks of some ``CHUNK`` bytes."""
         buf, offsets = blocks.layout(words)
-        length = np.diff(offsets)
-        order = np.argsort(-length, kind="stable")
-        i = 0
-        while i < len(order):
-            n = int(max(1, min(CHUNK, 2_000_000 // (int(length[order[i]]) + 2))))
-            pick = order[i : i + n]
-            i += n
-            size = length[pick] + 1
-            start = np.cumsum(size) - size
-            flat = np.full(int(size.sum()), 32, np.uint8)
-            flat[blocks.ragged(start + 1, length[pick])] = buf[blocks.ragged(offsets[pick], length[pick])]
-            yield pick, flat, start, size
-
-    def _forward(self, edges: list[np.ndarray], start: np.ndarray, size: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Log forward sums [position, word]; ``logp`` ends with -inf for edge -1."""
-        alpha = np.full((int(size[0]) + 1, len(start)), -np.inf)
-        alpha[0] = 0
-        for t in range(1, len(alpha)):
-            n = int(np.searchsorted(-size, -t, "right"))
-            here = start[:n] + t
-            total = alpha[t - 1, :n] + logp[edges[0][here]]
-            for k in range(2, min(t, len(edges)) + 1):
-                piece = edges[k - 1][here]
-                live = np.flatnonzero(piece >= 0)
-                if len(live):
-                    total[live] = np.logaddexp(total[live], alpha[t - k, live] + logp[piece[live]])
-            alpha[t, :n] = total
-        return alpha
+        order = np.argsort(-np.diff(offsets), kind="stable")
+        size = np.diff(offsets)[order] + 1
+        long = int(np.searchsorted(-size, -LONG))
+        share = np.cumsum(size[long:]) // CHUNK
+        cuts = np.concatenate((np.arange(1, long + 1), long + 1 + np.flatnonzero(np.diff(share))))
+        for part in np.split(np.arange(len(order)), cuts):
+            if len(part):
+                pick, n = order[part], size[part]
+                flat = np.full(int(n.sum()), 32, np.uint8)
+                flat[blocks.ragged(np.cumsum(n) - n + 1, n - 1)] = buf[blocks.ragged(offsets[pick], n - 1)]
+                yield pick, flat, n
 
     def score(self, words: pa.Array, logp: np.ndarray) -> np.ndarray:
         """Natural-log marginal probabilities [word, model] for ``logp`` [model, piece]."""
         out = np.zeros((len(words), len(logp)))
-        padded = [np.append(x, -np.inf) for x in logp]
-        for pick, flat, start, size in self._chunks(words):
-            edges = self._edges(flat, int(size[0]))
-            for m, x in enumerate(padded):
-                alpha = self._forward(edges, start, size, x)
-                out[pick, m] = alpha[size, np.arange(len(size))]
+        for pick, flat, size in self._chunks(words):
+            if size[0] > LONG:
+                out[pick[0]] = [self._one(flat, x)[-1] for x in logp]
+            else:
+                steps = Steps(self, flat, size)
+                out[pick] = steps.forward(logp.T)[steps.first + size]
         return out
 
     def expected(self, words: pa.Array, weights: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations, words weighted."""
-        counts = np.zeros(len(self) + 1)
-        padded = np.append(logp, -np.inf)
-        for pick, flat, start, size in self._chunks(words):
-            edges = self._edges(flat, int(size[0]))
-            alpha = self._forward(edges, start, size, padded)
-            whole = alpha[size, np.arange(len(size))]
-            beta = np.full_like(alpha, -np.inf)
-            beta[size, np.arange(len(size))] = 0
-            w = weights[pick]
-            for t in range(len(alpha) - 1, 0, -1):
-                n = int(np.searchsorted(-size, -t, "right"))
-                here = start[:n] + t
-                for k in range(1, min(t, len(edges)) + 1):
-                    piece = edges[k - 1][here]
-                    live = np.flatnonzero(piece >= 0)
-                    if len(live):
-                        p = piece[live]
-                        step = padded[p] + beta[t, live]
-                        beta[t - k, live] = np.logaddexp(beta[t - k, live], step)
-                        np.add.at(counts, p, w[live] * np.exp(alpha[t - k, live] + step - whole[live]))
-        return counts[:-1]
+        counts = np.zeros(len(self))
+        for pick, flat, size in self._chunks(words):
+            if size[0] > LONG:
+                alpha, beta = self._one(flat, logp), self._one(flat, logp, True)
+                for start, length, piece in self._parts(flat):
+                    p = np.exp(alpha[start] + logp[piece] + beta[start + length] - alpha[-1])
+                    counts += np.bincount(piece, weights[pick[0]] * p, len(self))
+            else:
+                steps = Steps(self, flat, size)
+                alpha, beta = steps.forward(logp[:, None])[:, 0], steps.backward(logp)
+                whole = alpha[steps.first + size]
+                p = np.exp(alpha[steps.start] + logp[steps.piece] + beta[steps.end] - whole[steps.lane])
+                counts += np.bincount(steps.piece, weights[pick][steps.lane] * p, len(self))
+        return counts
+
+    def _parts(self, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The edges of one word of any length, by ranges of their starts."""
+        for low in range(0, len(word), CHUNK):
+            high = min(len(word), low + CHUNK)
+            part = word[low : high + self.longest]
+            start, length, piece = self.edges(part, np.full(high - low, len(part)))
+            yield start + low, length, piece
+
+    def _one(self, word: np.ndarray, logp: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Forward (or backward) log sums at all positions of one word, edge by edge: time in proportion to its length."""
+        n = len(word)
+        out = np.full(n + 1, -np.inf)
+        done = [0.0]  # sums at the last ``longest`` positions and all of this part, the newest last
+        out[n if backward else 0] = 0
+        parts = list(range(0, n, CHUNK))
+        for low in reversed(parts) if backward else parts:
+            high = min(n, low + CHUNK)
+            if backward:
+                begin, part = low, word[low : high + self.longest]
+                start, length, piece = self.edges(part, np.full(high - low, len(part)))
+                near = start
+            else:
+                begin = max(0, low + 1 - self.longest)
+                part = word[begin:high]
+                start, length, piece = self.edges(part, np.full(len(part), len(part)))
+                near = start + length + begin - low - 1
+                inside = near >= 0
+                near, length, piece = near[inside], length[inside], piece[inside]
+            order = np.argsort(near, kind="stable")
+            cuts = np.searchsorted(near[order], np.arange(high - low + 1)).tolist()
+            length, weight = length[order].tolist(), logp[piece[order]].tolist()
+            places = range(high - low)
+            for k in reversed(places) if backward else places:
+                a, b = cuts[k], cuts[k + 1]
+                sums = [weight[j] + done[-length[j]] for j in range(a, b)]
+                top = max(sums)
+                done.append(top + math.log(sum([math.exp(x - top) for x in sums])) if b - a > 1 else top)
+            fresh = np.array(done[-(high - low) :])
+            if backward:
+                out[low:high] = fresh[::-1]
+            else:
+                out[low + 1 : high + 1] = fresh
+            del done[: -self.longest]
+        return out
+
+
+class Steps:
+    """Lattices of many words side by side: one step sums all edges that end (or start) at one place of each word.
+
+    Positions of all words lie end to end, one more than bytes for each word.
+    """
+
+    def __init__(self, grid: Lattice, flat: np.ndarray, size: np.ndarray):
+        lane = np.repeat(np.arange(len(size)), size)
+        begin = np.cumsum(size) - size
+        self.first = begin + np.arange(len(size))
+        self.size, self.total = size, len(flat) + len(size)
+        start, length, self.piece = grid.edges(flat, (begin + size)[lane])
+        self.lane = lane[start]
+        place = start - begin[self.lane]
+        self.start = self.first[self.lane] + place
+        self.end = self.start + length
+        self.place, self.length = place, length
+
+    def _sweep(self, place: np.ndarray, to: np.ndarray, via: np.ndarray, logp: np.ndarray, sums: np.ndarray, back: bool) -> None:
+        lanes = len(self.size)
+        order = np.argsort(place * lanes + self.lane)
+        place, to, via = place[order], to[order], via[order]
+        piece = self.piece[order]
+        fresh = np.flatnonzero(np.diff(to, prepend=-1))
+        steps = np.arange(int(self.size[0]) + 2)
+        at, cuts = np.searchsorted(place, steps), np.searchsorted(place[fresh], steps)
+        places = range(int(self.size[0]) + 1)
+        for t in reversed(places) if back else places:
+            a, b = at[t], at[t + 1]
+            if a < b:
+                groups = fresh[cuts[t] : cuts[t + 1]]
+                sums[to[groups]] = np.logaddexp.reduceat(logp[piece[a:b]] + sums[via[a:b]], groups - a, axis=0)
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Log sums [position, model] over all ways from a word's start, for ``logp`` [piece, model]."""
+        sums = np.full((self.total, logp.shape[1]), -np.inf)
+        sums[self.first] = 0
+        self._sweep(self.place + self.length, self.end, self.start, logp, sums, False)
+        return sums
+
+    def backward(self, logp: np.ndarray) -> np.ndarray:
+        """Log sums [position] over all ways to a word's end."""
+        sums = np.full(self.total, -np.inf)
+        sums[self.first + self.size] = 0
+        self._sweep(self.place, self.start, self.end, logp, sums, True)
+        return sums
 
 
 _LATTICES: dict[str, Lattice] = {}
@@ -164,9 +256,8 @@ class Lookup:
         return self.keys[at] != keys
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        keys, values = np.concatenate((self.keys, keys)), np.concatenate((self.values, values))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values, axis=0)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         return self.values[np.searchsorted(self.keys, keys)]

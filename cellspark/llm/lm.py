@@ -63,14 +63,15 @@ def word_types(rows: DataFrame, groups: int) -> DataFrame:
     return some.groupBy("h").agg(F.min("word").alias("word"), *sums).select("h", "word", F.array(*[f"n{g}" for g in range(groups)]).alias("counts"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2, head: int = 200_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, rounds: int = 2, head: int = 200_000, word_edges: bool = True) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2. A-Z is lower-cased; tokens are
     the words and one end. A null or empty text has one token. A null id counts as the
     empty text in the split. Repeated rows come out repeated; an empty table gives an empty
     result; with no training rows pieces are equally likely and the end counts once; other
-    columns are not read.
+    columns are not read. Without ``word_edges`` the lattices have edges of pieces only, and
+    piece probabilities come from all words of the training rows, repeats included.
     """
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (_hash_mod(id_col, 7) == 2).alias("held_out"))
@@ -78,11 +79,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     ends = rows.where("not held_out").count()
     total = types.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = int(total.n or 0) + ends, int(total.v) + (ends > 0)
-    logp, _ = estimate(types.where("c > 0").select("word", F.array(F.lit(1).cast("bigint")).alias("counts")), 1, path, rounds)
+    logp, _ = estimate(types.where("c > 0").select("word", F.array(F.lit(1).cast("bigint") if word_edges else F.col("c")).alias("counts")), 1, path, rounds)
     words, kinds = n - ends, v - (ends > 0)
     # A token is an end or a word; without training rows all of it is spelled.
     end = (ends + 1) / (n + 2)
-    spelled = math.log(kinds / (words + kinds)) if words else 0.0
+    spelled = math.log(kinds / (words + kinds)) if words and word_edges else 0.0
 
     def score_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = lattice(path)
@@ -90,7 +91,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             if batch.num_rows:
                 c = batch.column("c").to_numpy()
                 with np.errstate(divide="ignore"):
-                    whole = np.log(c / max(1, words + kinds))
+                    whole = np.log(c * word_edges / max(1, words + kinds))
                 p = np.logaddexp(whole, spelled + grid.score(batch.column("word"), logp)[:, 0]) + math.log1p(-end)
                 yield pa.record_batch([batch.column("h"), batch.column("c"), batch.column("m"), pa.array(p)], ["h", "c", "m", "p"])
 
