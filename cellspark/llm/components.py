@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = (seal.n, seal.h)
         edges = staged(_stars(_stars(edges, True), False), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the sets of ``a`` and ``b``, edge by edge, in ``label``: for each index the smallest one of its set."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up

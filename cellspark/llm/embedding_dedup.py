@@ -1,11 +1,12 @@
 """Near-duplicate vectors: random-hyperplane sign hashing, exact cosine, components.
 
 Equal vectors form one class first; classes are hashed into several tables of sign
-patterns. The number of bits follows the number of classes so that a table's buckets keep
-their size, and the number of tables follows from the bits and ``recall``: a pair at
-exactly the threshold meets in some table with at least that probability, a closer pair
-with a higher one. A pair counts in the first table in which it meets, so that no list of
-pairs is needed: a bucket gives only counts of links and a spanning forest.
+patterns. A bucket is as large as one task compares well by matrix products, so that few
+tables do and a vector seldom travels; the number of bits follows the number of classes so
+that buckets keep their size, and the number of tables follows from the bits and ``recall``:
+a pair at exactly the threshold meets in some table with at least that probability, a closer
+pair with a higher one. A pair counts in the first table in which it meets, so that no list
+of pairs is needed: a bucket gives only counts of links and a spanning forest.
 """
 
 from __future__ import annotations
@@ -18,24 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspark.llm.components import connected_components
+from cellspark.llm.components import connected_components, join
+from cellspark.llm.simhash import whole_groups
 from cellspark.llm.storage import staged
 
-#: Vectors of one side of a comparison task; larger buckets are cut into pairs of such parts.
-CELL = 2048
-#: Vectors that a bucket of a table holds on average.
-BUCKET = 256
+#: Values of all vectors that a bucket of a table holds on average, and bounds on the vectors.
+BUCKET_VALUES, BUCKET = 1 << 19, (256, 8192)
+#: Buckets with more than this many times the average are cut into pairs of parts of that size.
+CELLS = 2
 
 
-def plan(classes: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Bits of a table's key and number of tables."""
-    bits = min(30, max(6, math.ceil(math.log2(max(2, classes) / BUCKET))))
+def bucket_size(dimensions: int) -> int:
+    return min(BUCKET[1], max(BUCKET[0], BUCKET_VALUES // max(1, dimensions)))
+
+
+def plan(classes: int, bucket: int, threshold: float, recall: float) -> tuple[int, int]:
+    """Bits of a table's key and number of tables. A key has at most 62 bits."""
+    bits = min(62, max(0, math.ceil(math.log2(max(1, classes) / bucket))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet)) if bits else 1
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+    vectors = vectors.astype(np.float64)
+    vectors /= np.abs(vectors).max(1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
@@ -43,7 +50,7 @@ def sign_keys(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndar
     """Keys (rows, tables) of unit vectors."""
     planes = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((vectors.shape[1], tables * bits))
     signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return (signs << np.arange(bits)).sum(2).astype(np.int32)
+    return (signs << np.arange(bits)).sum(2, dtype=np.int64)
 
 
 def compare(left: dict, right: dict | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,25 +61,22 @@ def compare(left: dict, right: dict | None, table: int, threshold: float) -> tup
     ids = left["id"] if inside else np.concatenate((left["id"], right["id"]))
     shift = 0 if inside else n
     weight, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    step = max(1, 1_000_000 // max(1, m))
+    step = max(1, 2_000_000 // max(1, m))
     for i in range(0, n, step):
         part = slice(i, min(n, i + step))
-        linked = left["v"][part] @ right["v"].T >= threshold
+        low = i if inside else 0  # inside a part, each pair once
+        linked = left["v"][part] @ right["v"][low:].T >= threshold
         if inside:
-            linked[np.arange(linked.shape[0]), np.arange(i, part.stop)] = False
+            linked = np.triu(linked, 1)
         a, b = np.nonzero(linked)
-        if not len(a):
-            continue
-        earlier = (left["k"][part][a, :table] == right["k"][b, :table]).any(1)
-        a, b = a[~earlier] + i, b[~earlier]
-        np.add.at(weight, a, right["n"][b])
-        if not inside:
-            np.add.at(weight, b + shift, left["n"][a])
-        firsts = np.flatnonzero(np.diff(a, prepend=-1))
-        for x, lo, hi in zip(a[firsts], firsts, [*firsts[1:], len(a)]):
-            roots = np.unique(np.append(label[b[lo:hi] + shift], label[x]))
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
+        a, b = a + i, b + low
+        earlier = np.zeros(len(a), bool)
+        for t in range(table):
+            earlier |= left["k"][a, t] == right["k"][b, t]
+        a, b = a[~earlier], b[~earlier]
+        if len(a):
+            weight += np.bincount(a, right["n"][b], len(ids)).astype(np.int64) + np.bincount(b + shift, left["n"][a], len(ids)).astype(np.int64)
+            join(label, a, b + shift)
     return weight, ids, ids[label]
 
 
@@ -85,13 +89,18 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     counts rows, copies included. ``component_id`` is the smallest id reachable (null ids
     are never it); ``kept`` is ``vec_id = component_id``, true for two nulls. Repeated rows
     come out repeated and link with each other; an empty table gives an empty result; other
-    columns are not read.
+    columns are not read. Vectors are known as equal by 128 bits of hash.
     """
     v = F.col("v")
     finite = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("v", F.when(finite, v))
-    classes = staged(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("class"), "v", "least", "n"), "classes")
-    bits, tables = plan(classes.count(), threshold, recall)
+    kind, width = ("float", "<f4") if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).withColumn("v", F.when(finite, v))
+    named_rows = rows.select("id", "v", F.when(v.isNotNull(), F.xxhash64("v")).alias("k1"), F.when(v.isNotNull(), F.xxhash64(F.lit(7), "v")).alias("k2"))
+    grouped = named_rows.where("v is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = staged(grouped.select(F.monotonically_increasing_id().alias("class"), "k1", "k2", "v", "least", "n"), "classes")
+    total = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
+    cell = CELLS * bucket_size(total["size"] or 1)
+    bits, tables = plan(total.n, bucket_size(total["size"] or 1), threshold, recall)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,16 +110,19 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             first = np.cumsum(lengths) - lengths
             for size in np.unique(lengths):
                 who = np.flatnonzero(lengths == size)
-                unit_vectors = unit(flat[(first[who][:, None] + np.arange(size)).ravel()].reshape(-1, size))
-                key = sign_keys(unit_vectors, bits, tables, seed)
-                data = [np.concatenate((k.astype("<i4").view(np.uint8), x.view(np.uint8))).tobytes() for k, x in zip(key, unit_vectors)]
-                yield pa.record_batch([batch.column("class").take(pa.array(who)), batch.column("n").take(pa.array(who)), pa.array([key[i].tolist() for i in range(len(who))], pa.list_(pa.int32())), pa.array([int(size)] * len(who), pa.int32()), pa.array(data, pa.binary())], ["class", "n", "keys", "size", "data"])
-
-    hashed = staged(classes.select("class", "n", "v").mapInArrow(keys, "class bigint, n bigint, keys array<int>, size int, data binary"), "hashed")
+                values = flat[(first[who][:, None] + np.arange(size)).ravel()].reshape(-1, size)
+                key = sign_keys(unit(values), bits, tables, seed)
+                offsets = pa.array(np.arange(len(who) + 1, dtype=np.int32) * tables)
+                data = np.hstack((key.view(np.uint8), np.ascontiguousarray(values.astype(width)).view(np.uint8)))
+                yield pa.record_batch(
+                    [batch.column("class").take(pa.array(who)), batch.column("n").take(pa.array(who)), pa.ListArray.from_arrays(offsets, pa.array(key.ravel())), pa.array(np.full(len(who), size, np.int32)), _binary(data)], ["class", "n", "keys", "size", "data"]
+                )
+
+    hashed = staged(classes.select("class", "n", "v").mapInArrow(keys, "class bigint, n bigint, keys array<bigint>, size int, data binary"), "hashed")
     met = hashed.select("class", "n", "size", "data", F.posexplode("keys").alias("table", "key"))
     bucket = ["size", "table", "key"]
     # Few rows; the join is a broadcast one only as long as Spark finds them small.
-    large = hashed.select("size", F.posexplode("keys").alias("table", "key")).groupBy(bucket).count().where(F.col("count") > CELL).select(*bucket, F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
+    large = hashed.select("size", F.posexplode("keys").alias("table", "key")).groupBy(bucket).count().where(F.col("count") > cell).select(*bucket, F.ceil(F.col("count") / cell).cast("int").alias("parts"))
     dealt = (
         met.join(large, bucket, "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -121,41 +133,36 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     )
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _tasks(batches):
-            size, table, _, p, q = rows[0][1:6]
-            sides = []
-            for part in (p,) if p == q else (p, q):
-                own = [r for r in rows if r[6] == part]
-                raw = np.frombuffer(b"".join(r[9] for r in own), np.uint8).reshape(len(own), -1) if own else np.zeros((0, tables * 4 + size * 8), np.uint8)
-                sides.append({"id": np.array([r[7] for r in own], np.int64), "n": np.array([r[8] for r in own], np.int64), "k": np.ascontiguousarray(raw[:, : tables * 4]).view("<i4"), "v": np.ascontiguousarray(raw[:, tables * 4 :]).view("<f8")})
-            weight, ids, root = compare(sides[0], None if p == q else sides[1], table, threshold)
-            some = np.flatnonzero(weight)
-            if len(some):
-                yield pa.record_batch([pa.array(ids[some]), pa.array(weight[some]), pa.array(root[some])], ["class", "links", "root"])
+        for group in whole_groups(batches, cell):
+            edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in group[:6]], axis=0)) + 1
+            for a, b in zip([0, *edge], [*edge, len(group[0])]):
+                size, table, _, p, q, part, ids, n, data = (c[a:b] for c in group[1:])
+                sides = []
+                for own in (part == p[0],) if p[0] == q[0] else (part == p[0], part == q[0]):
+                    raw = np.frombuffer(b"".join(data[own]), np.uint8).reshape(int(own.sum()), tables * 8 + int(size[0]) * np.dtype(width).itemsize)
+                    k, values = raw[:, : tables * 8], raw[:, tables * 8 :]
+                    sides.append({"id": ids[own], "n": n[own], "k": np.ascontiguousarray(k).view("<i8"), "v": unit(np.ascontiguousarray(values).view(width)) if own.any() else np.zeros((0, int(size[0])))})
+                weight, every, root = compare(sides[0], None if p[0] == q[0] else sides[1], int(table[0]), threshold)
+                some = np.flatnonzero(weight)
+                if len(some):
+                    yield pa.record_batch([pa.array(every[some]), pa.array(weight[some]), pa.array(root[some])], ["class", "links", "root"])
 
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = staged(dealt.repartition(parts, "task").sortWithinPartitions("task", "size", "table", "key", "p", "q").mapInArrow(links, "class bigint, links bigint, root bigint"), "links")
     roots = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("class").agg(F.sum("links").alias("links"))
-    rooted = classes.join(counted, "class", "left").join(roots, F.col("class") == F.col("node"), "left").select("class", "v", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root"))
+    slim = classes.select("class", "k1", "k2", "least", "n")
+    rooted = slim.join(counted, "class", "left").join(roots, F.col("class") == F.col("node"), "left").select("class", "k1", "k2", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = staged(rooted.join(smallest, "root").select(F.col("v").alias("of"), (F.col("links") + F.col("n") - 1).alias("links"), "component"), "components")
-    return rows.join(named, rows.v == named.of, "left").select(
+    named = staged(rooted.join(smallest, "root").select("k1", "k2", (F.col("links") + F.col("n") - 1).alias("links"), "component"), "components")
+    return named_rows.drop("v").join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("vec_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of each task, from a stream in which they are neighbours."""
-    held: list[tuple] = []
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
-            if held and held[-1][:6] != row[:6]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary array."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])

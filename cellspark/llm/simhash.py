@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspark.llm import blocks
-from cellspark.llm.components import connected_components
+from cellspark.llm.components import connected_components, join
 from cellspark.llm.storage import staged
 
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
@@ -98,10 +98,8 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.nd
     for i in range(0, len(homes), step):
         apart = np.bitwise_count(homes[i : i + step, None] ^ guests[None, :])
         linked = (apart > 0) & (apart <= threshold)  # a home's own copy may be among the guests or, in a cut anchor, in another cell
-        for k in np.flatnonzero(linked.any(1)):
-            roots = np.unique(np.append(label[to[linked[k]]], label[at[i + k]]))
-            if len(roots) > 1:
-                label[np.isin(label, roots)] = roots[0]
+        a, b = np.nonzero(linked)
+        join(label, at[i + a], to[b])
     moved = np.flatnonzero(label != np.arange(len(every)))
     return every[moved], every[label[moved]]
 
@@ -289,10 +287,8 @@ def jaccard_labels(sets: list[np.ndarray], at: np.ndarray, to: np.ndarray, least
         mark[mine] = True
         both = np.add.reduceat(mark[there], begin, dtype=np.int64)
         mark[mine] = False
-        near = both >= least * (size[i] + size[to] - both)
-        roots = np.unique(np.append(label[to[near]], label[i]))
-        if len(roots) > 1:
-            label[np.isin(label, roots)] = roots[0]
+        near = to[both >= least * (size[i] + size[to] - both)]
+        join(label, np.full(len(near), i), near)
     return label
 
 

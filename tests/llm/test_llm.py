@@ -457,7 +457,7 @@ def test_embeddings(spark):
 def test_embedding_cells(spark, monkeypatch):
     from cellspark.llm import embedding_dedup
 
-    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "BUCKET", (16, 16))
     rng = np.random.default_rng(6)
     v = np.ones(8) + rng.normal(0, 0.05, (150, 8))
     d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<double>")
