@@ -9,6 +9,8 @@ The anchors of a block are the 4096 words of the perfect binary Golay code of le
 whose covering radius is 3: every block value has one *home* anchor within distance 3. A
 fingerprint is replicated to every anchor within ``3 + threshold // 3``, so a linked pair
 meets at the home anchor of either one. Per anchor, homes are compared with all arrivals.
+Very many fingerprints are dealt to pairs of anchors of two blocks instead, of which there
+are 4096 times as many, so that comparisons don't grow with the square; links are the same.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 ANCHORS = 4096
 #: Homes and arrivals of one comparison task at most; larger anchors are cut both ways.
 CELL = 8192
+#: Crowded cells that are cut, at most; others are compared whole.
+LISTED = 100_000
+#: Fingerprints above which cells are pairs of anchors.
+MANY = 4_000_000
+#: Fingerprints dealt at once.
+PIECE = 8_000
 
 
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
@@ -61,32 +69,56 @@ def _syndrome(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def covering_table(reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Error patterns by syndrome: an array (2048, most) of patterns of weight up to ``reach``, the lightest first, and how many of them each syndrome has."""
+def covering_table(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Error patterns by syndrome: an array (2048, most) of patterns of weight up to ``reach``, the lightest first; how far beyond ``RADIUS`` each is; and how many of them each syndrome has up to 0, 1, … beyond, [excess, syndrome]."""
     patterns = np.array([sum(1 << i for i in c) for w in range(reach + 1) for c in combinations(range(23), w)], np.int64)
     syndromes = _syndrome(patterns)
     order = np.argsort(syndromes, kind="stable")
     count = np.bincount(syndromes, minlength=2048)
-    table = np.zeros((2048, int(count.max())), np.int64)
     rank = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    table, beyond = np.zeros((2048, int(count.max())), np.int64), np.zeros((2048, int(count.max())), np.int64)
     table[syndromes[order], rank] = patterns[order]
-    return table, count
+    excess = np.maximum(np.bitwise_count(patterns).astype(np.int64) - RADIUS, 0)
+    beyond[syndromes[order], rank] = excess[order]
+    counts = np.array([np.bincount(syndromes[excess <= k], minlength=2048) for k in range(reach - RADIUS + 1)])
+    return table, beyond, counts
 
 
-def arrivals(fp: np.ndarray, table: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all fingerprints and anchors that they reach: index of the fingerprint, cell (table and anchor), whether it is the home."""
-    index, cells, home = [], [], []
-    for part, (low, size) in enumerate(PARTS):
-        x = ((fp >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64)
-        s = _syndrome(x)
-        many = count[s]
-        who = np.repeat(np.arange(len(fp)), many)
-        rank = blocks.ragged(np.zeros(len(fp), np.int64), many)
-        anchor = x[who] ^ table[s[who], rank]
-        index.append(who)
-        cells.append(part * ANCHORS + (anchor >> 11))
-        home.append(rank == 0)
-    return np.concatenate(index), np.concatenate(cells), np.concatenate(home)
+class Covering:
+    """Cells of fingerprints: anchors of single blocks, or pairs of anchors of two blocks.
+
+    Of two linked fingerprints one block differs in at most ``threshold // 3`` bits, and some
+    two blocks in at most ``2 * threshold // 3``. Pairs make cells 4096 times as many, and
+    ten times as many arrivals.
+    """
+
+    def __init__(self, threshold: int, double: bool):
+        self.double = double
+        self.over = (2 * threshold if double else threshold) // 3
+        self.table, self.beyond, self.counts = covering_table(RADIUS + self.over)
+
+    def __call__(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all fingerprints and anchors that they reach: index of the fingerprint, cell, whether it is the home."""
+        values = [((fp >> np.uint64(low)) & np.uint64((1 << size) - 1)).astype(np.int64) for low, size in PARTS]
+        syndromes = [_syndrome(x) for x in values]
+        index, cells, home = [], [], []
+        for part in range(3):
+            x, s = values[part], syndromes[part]
+            many = self.counts[-1][s]
+            who = np.repeat(np.arange(len(fp)), many)
+            rank = blocks.ragged(np.zeros(len(fp), np.int64), many)
+            cell, own = part * ANCHORS + ((x[who] ^ self.table[s[who], rank]) >> 11), rank == 0
+            if self.double:
+                left = self.over - self.beyond[s[who], rank]
+                x, s = values[(part + 1) % 3], syndromes[(part + 1) % 3]
+                many = self.counts[left, s[who]]
+                rank = blocks.ragged(np.zeros(len(who), np.int64), many)
+                who, cell, own = np.repeat(who, many), np.repeat(cell, many), np.repeat(own, many)
+                cell, own = cell * ANCHORS + ((x[who] ^ self.table[s[who], rank]) >> 11), own & (rank == 0)
+            index.append(who)
+            cells.append(cell)
+            home.append(own)
+        return np.concatenate(index), np.concatenate(cells), np.concatenate(home)
 
 
 def forest(homes: np.ndarray, guests: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,43 +140,49 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64), pa.int64())
 
 
-def _links(prints: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all linked ones."""
-    reach = RADIUS + threshold // 3
-    table, count = covering_table(reach)
+def _links(prints: DataFrame, threshold: int, double: bool | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all linked ones; pairs of blocks by default where there are more than ``MANY``."""
+    reach = Covering(threshold, prints.count() > MANY if double is None else double)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes, guests = np.zeros(3 * ANCHORS, np.int64), np.zeros(3 * ANCHORS, np.int64)
         for batch in batches:
-            _, cells, home = arrivals(batch.column(0).to_numpy().view(np.uint64), table, count)
-            guests += np.bincount(cells, minlength=len(guests))
-            homes += np.bincount(cells[home], minlength=len(homes))
-        here = np.flatnonzero(guests)
-        yield pa.record_batch([pa.array(here), pa.array(homes[here]), pa.array(guests[here])], ["cell", "homes", "guests"])
-
-    # At most 3 * 4096 rows, whatever the input.
-    counted = prints.mapInArrow(sizes, "cell bigint, homes bigint, guests bigint").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests")).collect()
-    rows, columns = np.ones(3 * ANCHORS, np.int64), np.ones(3 * ANCHORS, np.int64)
-    for r in counted:
-        rows[r.cell], columns[r.cell] = max(1, -(-r.homes // CELL)), max(1, -(-r.guests // CELL))
+            for part in range(0, batch.num_rows, PIECE):
+                _, cells, home = reach(batch.column(0).slice(part, PIECE).to_numpy().view(np.uint64))
+                cells, homes = (cells[home], home[home]) if reach.double else (cells, home)
+                here, at = np.unique(cells, return_inverse=True)
+                yield pa.record_batch([pa.array(here), pa.array(np.bincount(at, homes).astype(np.int64)), pa.array(np.bincount(at) if not reach.double else np.zeros(len(here), np.int64))], ["cell", "homes", "guests"])
+
+    # Crowded cells only, and few of them: cells that are not listed are compared whole.
+    counted = prints.mapInArrow(sizes, "cell bigint, homes bigint, guests bigint").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests"))
+    crowded = counted.where((F.col("homes") > CELL) | (F.col("guests") > CELL)).orderBy(F.desc("homes"), F.desc("guests"), "cell").limit(LISTED).toPandas().sort_values("cell")
+    listed, rows, columns = crowded.cell.to_numpy(), np.maximum(1, -(-crowded.homes.to_numpy() // CELL)), np.maximum(1, -(-crowded.guests.to_numpy() // CELL))
+
+    def cuts(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In how many rows and columns each cell is cut."""
+        if not len(listed):
+            return np.ones(len(cells), np.int64), np.ones(len(cells), np.int64)
+        at = np.minimum(np.searchsorted(listed, cells), len(listed) - 1)
+        hit = listed[at] == cells
+        return np.where(hit, rows[at], 1), np.where(hit, columns[at], 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 50_000):
-                fp = batch.column(0).slice(part, 50_000).to_numpy().view(np.uint64)
-                index, cells, home = arrivals(fp, table, count)
+            for part in range(0, batch.num_rows, PIECE):
+                fp = batch.column(0).slice(part, PIECE).to_numpy().view(np.uint64)
+                index, cells, home = reach(fp)
                 value = fp[index]
                 salt = blocks.mix(value)
+                every = cuts(cells)
                 out = []
-                for is_home, own, other in ((True, rows, columns), (False, columns, rows)):
+                for is_home in (True, False):
                     pick = home if is_home else np.ones(len(cells), bool)
                     c, v, s = cells[pick], value[pick], salt[pick]
-                    times = other[c]
-                    mine = np.repeat((s % own[c].astype(np.uint64)).astype(np.int64), times)
+                    own, times = (x[pick] for x in (every if is_home else every[::-1]))
+                    mine = np.repeat((s % own.astype(np.uint64)).astype(np.int64), times)
                     yours = blocks.ragged(np.zeros(len(c), np.int64), times)
                     row, column = (mine, yours) if is_home else (yours, mine)
                     c, v = np.repeat(c, times), np.repeat(v, times)
-                    out.append((c << 40 | row << 20 | column, v, np.full(len(c), is_home)))
+                    out.append((c << 36 | row << 18 | column, v, np.full(len(c), is_home)))
                 task, v, is_home = (np.concatenate(x) for x in zip(*out))
                 yield pa.record_batch([pa.array(task), _longs(v), pa.array(is_home)], ["task", "fp", "home"])
 

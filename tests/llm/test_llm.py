@@ -134,10 +134,10 @@ def test_covering_finds_all_links(spark):
     prints = sorted({int(x) for x in near})
     old = simhash.CELL
     try:
-        for cell in (old, 7):
+        for cell, double in ((old, False), (7, False), (old, True), (2, True)):
             simhash.CELL = cell
             table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in prints], "fp bigint")
-            roots = {np.int64(r.node).view(np.uint64).item(): np.int64(r.root).view(np.uint64).item() for r in connected_components(simhash._links(table, 4)).collect()}
+            roots = {np.int64(r.node).view(np.uint64).item(): np.int64(r.root).view(np.uint64).item() for r in connected_components(simhash._links(table, 4, double)).collect()}
             groups = collections.defaultdict(set)
             for p, r in zip(prints, components(prints, 4)):
                 groups[r].add(p)
@@ -162,10 +162,10 @@ def test_isolated_pairs_in_cut_anchors(spark, monkeypatch):
         if all(bin(a ^ b).count("1") > 4 for a in (x, y) for b in prints):
             prints += [x, y]
     assert len(prints) > 80
-    for cell in (2, 20, 10**6):
+    for cell, double in ((2, False), (20, False), (10**6, False), (2, True), (10**6, True)):
         monkeypatch.setattr(simhash, "CELL", cell)
         table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in prints], "fp bigint")
-        got = {frozenset((r.node % 2**64, r.root % 2**64)) for r in connected_components(simhash._links(table, 4)).collect()}
+        got = {frozenset((r.node % 2**64, r.root % 2**64)) for r in connected_components(simhash._links(table, 4, double)).collect()}
         assert got == {frozenset(prints[i : i + 2]) for i in range(0, len(prints), 2)}
 
 
