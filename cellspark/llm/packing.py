@@ -7,14 +7,15 @@ that, and the fraction is carried to the next window. After k windows a source w
 tokens, of K windows in all, has therefore given exactly floor(k * T / K) tokens. That makes the
 plan arithmetic: given where a document starts in its queue, all its pieces follow from
 the table of totals, without running through the windows, and no deficit is lost between
-partitions. All sequences but the last are full.
+partitions. Given target weights, shares change where a source runs dry, in the same way. All
+sequences but the last are full.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from cellspark.llm.storage import staged
 #: Fixed value: the id after each document.
 END = 1
 LENGTH = 2048
-#: Sources are kept apart up to this many; more share queues by hash.
-QUEUES = 1024
+#: Windows whose plans a task keeps.
+KEPT = 256
 
 
 def default_vocabulary() -> str:
@@ -105,16 +106,69 @@ def quota(k: np.ndarray, totals: np.ndarray, windows: int) -> np.ndarray:
     return k * (totals // windows) + k * (totals % windows) // windows
 
 
-def pieces(start: int, size: int, source: int, totals: np.ndarray, windows: int, length: int) -> list[tuple[int, int, int, int]]:
+class Schedule:
+    """What every source has given after each window.
+
+    Without weights sources keep their own shares and all run dry at the end. With weights a
+    source gives ``weight`` tokens for each step of a common clock until it runs dry; from
+    then on the others share the windows by their weights. The time between two such moments
+    is a phase of whole windows.
+    """
+
+    def __init__(self, totals: np.ndarray, size: int, weights: np.ndarray | None = None):
+        self.totals, self.weights = totals, weights
+        self.windows = max(1, -(-int(totals.sum()) // size))
+        self._known: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        if weights is not None:
+            self.dry = totals / weights
+            self.end = np.unique(self.dry)
+            self.begin = np.concatenate(([0.0], self.end[:-1]))
+            given = np.array([np.minimum(weights * t, totals).sum() for t in (*self.begin, *self.end)]).reshape(2, -1)
+            self.count = np.maximum(1, np.ceil((given[1] - given[0]) / size)).astype(np.int64)
+            self.first = np.cumsum(self.count) - self.count
+            self.windows = int(self.count.sum())
+
+    def given(self, k: int) -> np.ndarray:
+        if self.weights is None:
+            return quota(k, self.totals, self.windows)
+        if k >= self.windows:
+            return self.totals
+        phase = int(np.searchsorted(self.first, k, "right")) - 1
+        clock = self.begin[phase] + (self.end[phase] - self.begin[phase]) * ((k - self.first[phase]) / self.count[phase])
+        return np.where(self.dry <= self.begin[phase], self.totals, np.minimum((self.weights * clock).astype(np.int64), self.totals))
+
+    def window(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each source has given before and after window ``k``, and where in all tokens its part of the window begins; the last windows asked for are kept."""
+        if k not in self._known:
+            if len(self._known) >= KEPT:
+                self._known.clear()
+            before, after = self.given(k), self.given(k + 1)
+            self._known[k] = before, after, before.sum() + np.cumsum(after - before) - (after - before)
+        return self._known[k]
+
+    def find(self, source: int, at: int) -> int:
+        """The window that takes token ``at`` of the queue of ``source``."""
+        if self.weights is None:
+            k = at * self.windows // int(self.totals[source])
+        else:
+            clock = at / self.weights[source]
+            phase = min(int(np.searchsorted(self.end, clock, "right")), len(self.end) - 1)
+            k = int(self.first[phase] + (clock - self.begin[phase]) / (self.end[phase] - self.begin[phase]) * self.count[phase])
+            k = min(max(k, 0), self.windows - 1)
+            while self.window(k)[0][source] > at:
+                k -= 1
+        while self.window(k)[1][source] <= at:
+            k += 1
+        return k
+
+
+def pieces(start: int, size: int, source: int, schedule: Schedule, length: int) -> list[tuple[int, int, int, int]]:
     """(start in the document, length, sequence, offset) of all pieces of ``size`` tokens that begin at ``start`` in the queue of ``source``."""
-    total, out, done = int(totals[source]), [], 0
+    out, done = [], 0
     while done < size:
         at = start + done
-        k = (at * windows) // total
-        while quota(k + 1, totals, windows)[source] <= at:
-            k += 1
-        before, after = quota(k, totals, windows), quota(k + 1, totals, windows)
-        place = int(before.sum() + (after - before)[:source].sum() + at - before[source])
+        before, after, first = schedule.window(schedule.find(source, at))
+        place = int(first[source] + at - before[source])
         here = int(min(size - done, after[source] - at))
         while here:
             n = min(here, length - place % length)
@@ -123,19 +177,20 @@ def pieces(start: int, size: int, source: int, totals: np.ndarray, windows: int,
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = 32, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, window: int = 32, vocabulary: str | None = None, weights: Mapping[str | None, float] | None = None) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document's tokens are its text's ids and an end. Documents queue in the order of the
     table's partitions. A null text is empty and has only the end; null sources form one
     queue; repeated rows are packed repeatedly; an empty table gives an empty result; other
     columns are not read. Sequences are gapless; only the last may be shorter and is padded.
+    Windows take from the sources in proportion to ``weights`` (above 0, for every source;
+    null is a source), until a source runs dry; by default in proportion to their tokens.
+    One row for each source comes to the driver and goes to all tasks.
     """
     path = vocabulary or default_vocabulary()
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("source"))
-    if rows.select("source").distinct().limit(QUEUES + 1).count() > QUEUES:
-        rows = rows.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, tokens, held = TaskContext.get().partitionId(), Tokens(path), {}
@@ -154,18 +209,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     parts = encoded.groupBy("source", "task").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shift = staged(parts.select("source", "task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"), "size"), "shift")
-    queues = sorted((r.source, int(r.total)) for r in shift.groupBy("source").agg(F.sum("size").alias("total")).collect())  # at most QUEUES rows
+    queues = sorted((r.source, int(r.total)) for r in shift.groupBy("source").agg(F.sum("size").alias("total")).collect())
     number, totals = {s: i for i, (s, _) in enumerate(queues)}, np.array([n for _, n in queues], np.int64)
-    windows = max(1, -(-int(totals.sum()) // (window * length)))
+    shares = None if weights is None else np.array([{"" if k is None else f"s{k}": v for k, v in weights.items()}[s] for s, _ in queues], float)
+    if shares is not None and not (shares > 0).all():
+        raise ValueError("weights must be above 0")
+    shared = docs.sparkSession.sparkContext.broadcast((number, totals, shares))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, totals, shares = shared.value
+        schedule = Schedule(totals, window * length, shares)
         for part in blocks.slices(batches, "ids"):
             out, row = [], []
             first = (part.column("first").to_numpy() + part.column("shift").to_numpy()).tolist()
             size, source = part.column("size").to_pylist(), part.column("source").to_pylist()
             for i, data in enumerate(part.column("ids")):
                 ids = np.append(np.frombuffer(data.as_py(), "<u2"), np.uint16(END)).astype("<u4")
-                for start, n, sequence, offset in pieces(first[i], size[i], number[source[i]], totals, windows, length):
+                for start, n, sequence, offset in pieces(first[i], size[i], number[source[i]], schedule, length):
                     out.append((start, n, zlib.crc32(ids[start : start + n].tobytes()), size[i], sequence, offset))
                     row.append(i)
             columns = np.array(out, np.int64).reshape(-1, 6)

@@ -409,6 +409,36 @@ def test_quota_is_deficit_round_robin():
         assert packing.quota(k + 1, totals, windows).tolist() == given.tolist()
 
 
+def test_packing_weights(spark):
+    """Windows hold the target proportions until a queue runs dry; 1,100 sources keep theirs apart."""
+    rows = [(i, "word " * 40, "abc"[i % 3] if i % 3 else None) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    weights = {None: 6.0, "b": 3.0, "c": 1.0}
+    got = packing.pack(d, window=1, length=256, weights=weights).toPandas().merge(d.select("doc_id", "source").toPandas(), on="doc_id")
+    check_pieces(got, 256)
+    got["place"] = got.sequence_id * 256 + got.offset
+    each = got.groupby(got.source.fillna("null")).length.sum()
+    dry = each["null"] / 6.0
+    share = got[got.place + got.length <= 10 * dry * 0.9].groupby(got.source.fillna("null")).length.sum()
+    assert (share / share.sum()).round(2).to_dict() == {"null": 0.6, "b": 0.3, "c": 0.1}
+    tail = got[got.place > 10 * dry + 512]
+    assert tail.source.notna().all() and set(tail.source) == {"b", "c"}
+    many = spark.createDataFrame([(i, "some words here " * 20, f"s{i % 1100}") for i in range(2200)], "doc_id bigint, text string, source string")
+    full = packing.pack(many, window=8).toPandas()
+    check_pieces(full, 2048)
+    full["window"] = full.sequence_id // 8
+    half = full[full.sequence_id < full.sequence_id.max() // 2].groupby(full.doc_id % 1100).length.sum()
+    assert len(half) == 1100 and half.max() - half.min() <= 40
+
+
+def check_pieces(got, length):
+    """Every sequence gapless and full but the last, every document whole."""
+    for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and (g.length.sum() == length or g.sequence_id.iloc[0] == got.sequence_id.max())
+    for _, g in got.sort_values(["doc_id", "start"]).groupby("doc_id"):
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+
+
 # 8
 def test_toxicity(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
