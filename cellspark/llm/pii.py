@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspark.llm.storage import staged
+from cellspark.llm.storage import scratch, staged
 
 #: The kinds in their order. Look-behinds and possessive repeats only save
 #: time: a match never starts inside a run that it could have started with.
@@ -25,9 +25,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-KINDS = (*PATTERNS, "term")
+#: Fixed value: a run that may be a key or a password.
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+KINDS = (*PATTERNS, "secret", "term")
 #: Marks around a match; the text's own are replaced first.
 OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
+#: Different characters that a secret has at least: three bits for each one drawn.
+LEAST_KINDS = 8
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -78,6 +82,12 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.when(GATES[k](t), spans(t, F.lit(p), VALID[k])).otherwise(F.array().cast(_SPANS)).alias(f"_{k}") for k, p in PATTERNS.items()])
 
 
+def secret_spans(t: Column) -> Column:
+    """Spans of keys: long runs with letters and digits whose characters hardly repeat. Nothing in a text predicts them, so all they say is about their owner."""
+    valid = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(m, ""))) >= LEAST_KINDS) & (F.length(_digits(m)) * 8 >= F.length(m))
+    return F.when(t.rlike("[A-Za-z0-9+/_-]{20}"), spans(t, F.lit(SECRET), valid)).otherwise(F.array().cast(_SPANS))
+
+
 def disclosing_terms(found: DataFrame, context: int = 60, evidence: int = 3, disclosure: float = 0.8) -> DataFrame:
     """``k1, k2, terms`` of the rows of ``found`` in which a term anywhere in the text discloses an entity of the text.
 
@@ -118,7 +128,8 @@ def disclosing_terms(found: DataFrame, context: int = 60, evidence: int = 3, dis
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3, disclosure: float = 0.8, carry: bool = False) -> DataFrame:
     """Spans of personal data and the sanitised text of each row of ``docs``.
 
-    Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, clean_text``.
+    Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term,
+    n_spans, clean_text``; ``n_spans`` counts all kinds.
     ``spans`` lists kind:start:end (code points, end exclusive) by kind, then start, joined
     by commas; ``base_sha256`` is the hash of the same list without terms. In ``clean_text``
     each stretch is replaced by its kind in brackets (of overlapping ones, the first). With
@@ -130,10 +141,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     carried = F.struct(*others).alias("carried") if carry and others else F.lit(None).alias("carried")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), carried).select("*", F.translate("_text", OPEN + CLOSE, OTHER * 2).alias("_t"))
     keyed = base_spans(rows.select("*", F.xxhash64("doc_id", "_text").alias("k1"), F.xxhash64(F.lit(7), "_text", "doc_id").alias("k2")))
-    terms = disclosing_terms(keyed, evidence=evidence, disclosure=disclosure)
-    joined = keyed.join(staged(terms, "terms"), ["k1", "k2"], "left")
+    with scratch(docs.sparkSession) as keep:
+        terms = keep(staged(disclosing_terms(keyed, evidence=evidence, disclosure=disclosure), "terms"))
+    joined = keyed.join(terms, ["k1", "k2"], "left")
     term_pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    every = joined.select("*", F.when(F.col("terms").isNotNull(), spans(F.col("_t"), term_pattern, lambda m: F.lit(True))).otherwise(F.array().cast(_SPANS)).alias("_term"))
+    every = joined.select("*", F.when(F.col("terms").isNotNull(), spans(F.col("_t"), term_pattern, lambda m: F.lit(True))).otherwise(F.array().cast(_SPANS)).alias("_term"), secret_spans(F.col("_t")).alias("_secret"))
     listed = lambda k: F.transform(f"_{k}", lambda x: F.concat_ws(":", F.lit(k), x.s.cast("string"), x.e.cast("string")))
     base = F.array_join(F.concat(*map(listed, PATTERNS)), ",")
     named = lambda k: F.transform(f"_{k}", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(k.upper()).alias("k")))
@@ -151,13 +163,19 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in PATTERNS],
         F.sha2(base, 256).alias("base_sha256"),
         F.array_join(F.concat(*map(listed, KINDS)), ",").alias("spans"),
+        F.size("_secret").cast("bigint").alias("n_secret"),
         F.size("_term").cast("bigint").alias("n_term"),
+        sum((F.size(f"_{k}") for k in KINDS), F.lit(0)).cast("bigint").alias("n_spans"),
         F.when(F.size(tagged) > 0, rebuilt).otherwise(F.col("_text")).alias("clean_text"),
         *(["carried"] if carry else []),
     )
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3, disclosure: float = 0.8) -> DataFrame:
-    """``docs``, all rows and columns, with the text sanitised; a null text becomes empty."""
+    """``docs``, all rows and columns, with the text sanitised.
+
+    A null text becomes empty; a null id is an id like any other; repeated rows come out
+    repeated; an empty table stays empty; other columns may have any name.
+    """
     out = personal_data(docs, id_col, text_col, evidence, disclosure, carry=True)
     return out.select(*[F.col("clean_text").alias(c) if c == text_col else F.col("carried").getField(c).alias(c) for c in docs.columns])

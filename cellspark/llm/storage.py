@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Paths of the staged tables, by scope, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,4 +30,43 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files: later steps don't recompute it, and an executor that is lost takes nothing with it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what was staged inside it once its work is done, but for tables passed to the function that it gives; on an error all stays."""
+    made: list[str] = []
+    kept: set[str] = set()
+    _SCOPES.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0] for f in table.inputFiles())
+        return table
+
+    try:
+        yield keep
+    except BaseException:
+        _SCOPES.pop()
+        raise
+    _SCOPES.pop()
+    names = {x.rsplit("/", 1)[1] for x in kept}
+    for path in made:
+        if path.rsplit("/", 1)[1] not in names:
+            _delete(spark, path)
+        elif _SCOPES:
+            _SCOPES[-1].append(path)
