@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellspark.llm.storage import staged
+from cellspark.llm.storage import release, staged
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has two BIGINT columns ``a`` and ``b``; direction, loops, repeats and rows
     with a null are immaterial. Returns ``node``, ``root``: the smallest vertex reachable,
     for all vertices other than roots (a vertex without a row is its own root). Each round
-    is staged in the shared folder; nothing but two totals comes to the driver. Raises if
+    is staged in the shared folder, and the one before it deleted; nothing but two totals comes to the driver. Raises if
     the rounds, logarithmic in number, run out.
     """
     edges = (
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seal.n == 0 or (seal.n, seal.h) == before:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("root"))
         before = (seal.n, seal.h)
-        edges = staged(_stars(_stars(edges, True), False), "edges")
+        done, edges = edges, staged(_stars(_stars(edges, True), False), "edges")
+        release(done)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cellspark.llm.components import connected_components, join
 from cellspark.llm.simhash import whole_groups
-from cellspark.llm.storage import staged
+from cellspark.llm.storage import release, staged
 
 #: Values of all vectors that a bucket of a table holds on average, and bounds on the vectors.
 BUCKET_VALUES, BUCKET = 1 << 19, (256, 8192)
@@ -155,6 +155,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     rooted = slim.join(counted, "class", "left").join(roots, F.col("class") == F.col("node"), "left").select("class", "k1", "k2", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "class").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = staged(rooted.join(smallest, "root").select("k1", "k2", (F.col("links") + F.col("n") - 1).alias("links"), "component"), "components")
+    release(classes, hashed, found)
     return named_rows.drop("v").join(named, ["k1", "k2"], "left").select(
         F.col("id").alias("vec_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),

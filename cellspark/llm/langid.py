@@ -42,7 +42,7 @@ def language_model(rows: DataFrame, per_language: int, vocabulary: str, rounds:
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, vocabulary: str | None = None, rounds: int = 2, hold_out: bool = True, carry: bool = False) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``; with ``carry`` all columns of ``docs`` and those but ``doc_id``, names prefixed with ``_``.
+    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``; with ``carry`` the row of ``docs`` too, as a struct ``carried``.
 
     Learns from text and non-null language of rows whose crc32(id as text) mod 4 is not 2
     (all rows if not ``hold_out``), from about ``per_language`` rows of each language.
@@ -61,10 +61,10 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, cache = lattice(path), Lookup(max(1, len(names)))
-        for part in blocks.slices(batches, "_text"):
+        for part in blocks.slices(batches):
             best, score = np.full(part.num_rows, len(names)), np.zeros(part.num_rows)
             if names:
-                buf, starts, ends, first, hashes = lowered_words(part.column("_text"))
+                buf, starts, ends, first, hashes = lowered_words(part.column("text"))
                 total = np.tile(shares, (part.num_rows, 1))
                 if len(hashes):
                     keys, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -78,14 +78,13 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 best = total.argmax(1)
                 top = total[np.arange(len(total)), best]
                 score = 1 / np.exp(total - top[:, None]).sum(1)
-            silent = ~part.column("_letter").to_numpy(zero_copy_only=False)
+            silent = ~part.column("letter").to_numpy(zero_copy_only=False)
             best[silent], score[silent] = len(names), 0
             kept = [part.column(i) for i in range(part.num_columns - 2)]
-            yield pa.record_batch([*kept, pa.array(labels[best], pa.string()), pa.array(score.astype(float))], [*part.schema.names[:-2], "_lang_pred", "_score"])
+            yield pa.record_batch([*kept, pa.array(labels[best], pa.string()), pa.array(score.astype(float))], [*part.schema.names[:-2], "lang_pred", "score"])
 
-    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    kept = [F.col(c) for c in docs.columns] if carry else [F.col(id_col).alias("doc_id")]
-    source = docs.select(*kept, held.alias("_held_out"), text.alias("_text"), letter)
-    schema = source.drop("_text", "_letter").schema.add("_lang_pred", "string").add("_score", "double")
-    out = source.mapInArrow(run, schema)
-    return out if carry else out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")
+    carried = [F.struct(*docs.columns).alias("carried")] if carry else []
+    source = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), *carried, text.alias("text"), letter)
+    out = source.mapInArrow(run, source.drop("text", "letter").schema.add("lang_pred", "string").add("score", "double"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", *(["carried"] if carry else []))

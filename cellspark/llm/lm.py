@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cellspark.llm import blocks
 from cellspark.llm.lattice import Tally, cut, default_vocabulary, distinct_counts, estimate, lattice, lowered_words
-from cellspark.llm.storage import staged
+from cellspark.llm.storage import release, staged
 
 LN10 = math.log(10)
 
@@ -96,6 +96,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 yield pa.record_batch([batch.column("h"), batch.column("c"), batch.column("m"), pa.array(p)], ["h", "c", "m", "p"])
 
     scored = staged(types.select("h", "word", "c", (F.col("counts")[0] + F.col("counts")[1]).alias("m")).mapInArrow(score_types, "h bigint, c bigint, m bigint, p double"), "scored")
+    release(types)
     # Types by occurrences, in steps of an eighth of a power of two: a few hundred rows.
     steps = sorted(scored.groupBy(F.floor(F.log2("m") * 8).alias("step")).count().collect(), key=lambda r: -r.step)
     kept, least = 0, 1e9

@@ -105,11 +105,16 @@ def _few(table: DataFrame, rows: int = 100_000) -> bool:
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 42) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns, each as often as the mix takes it."""
-    if "_copies" in docs.columns:
-        raise ValueError("the column name _copies is taken")
+    """The mix itself: rows of ``docs``, all columns, each as often as the mix takes it.
+
+    A null text has size 0; a row of size 0 is in the mix as often as its source's whole
+    repetitions, or once more by its place in the hash order. Null sources form one source.
+    Equal rows are mixed like any others; an empty table stays empty; other columns may have
+    any name.
+    """
     plan = mixed(docs, word_count(F.col(text_col)), id_col, source_col, weights, max_epochs, seed, carry=docs.columns)
-    return plan.where("copies > 0").select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copies")).drop("_copies")
+    row = F.struct(*[F.col(f"carry_{c}").alias(c) for c in docs.columns]).alias("row")
+    return plan.where("copies > 0").select(row, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def op5_rows(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cellspark.llm import blocks
 from cellspark.llm.components import connected_components, join
-from cellspark.llm.storage import staged
+from cellspark.llm.storage import release, staged
 
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
 GOLAY = 0xC75
@@ -244,6 +244,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(rooted.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
+    release(prints)
     return each.join(named, each.fp == named.of).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -386,10 +387,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     case, is ``least`` or more, by the sets themselves. Pairs to compare are those joined over
     shared bands of MinHash signatures: at a similarity of 0.8 a pair shares one with probability
     0.9996, more above it. Rows with null ids come last in that order; rows with equal ids and
-    texts are copies, of which one stays. Wordless texts are copies of each other.
+    texts are copies, of which one stays; rows with equal ids and different texts are different.
+    Wordless and null texts are copies of each other. An empty table stays empty; other columns
+    may have any name.
     """
-    if {"_kid", "_tid"} & set(docs.columns):
-        raise ValueError("the column names _kid and _tid are taken")
     text = F.col(text_col).cast("string")
     # A null id is replaced by a large number from the text. An id may come with several texts.
     kid = F.coalesce(F.col(id_col).cast("bigint"), F.pmod(F.xxhash64(text), F.lit(1 << 62)) + F.lit(1 << 62))
@@ -412,9 +413,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = staged(alike.select(F.monotonically_increasing_id().alias("pid"), "first.kid", "first.tid", "n", "bands"), "prints")
     roots = connected_components(_verified(rows, prints, width, least))
     rooted = prints.join(roots, F.col("pid") == F.col("node"), "left").select("kid", "tid", F.coalesce("root", "pid").alias("root"))
-    keep = staged(rooted.groupBy("root").agg(F.min(F.struct("kid", "tid")).alias("first")).select(F.col("first.kid").alias("_kid"), F.col("first.tid").alias("_tid")), "kept")
-    keyed = docs.withColumns({"_kid": kid, "_tid": F.xxhash64(text)})
+    keep = staged(rooted.groupBy("root").agg(F.min(F.struct("kid", "tid")).alias("first")).select("first.kid", "first.tid"), "kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), kid.alias("kid"), F.xxhash64(text).alias("tid"))
     # The kept rows grow with the input and are never sent to all tasks.
-    kept = keyed.join(keep.hint("merge"), ["_kid", "_tid"], "left_semi")
-    repeated = each.groupBy(F.col("kid").alias("_kid"), F.col("tid").alias("_tid")).agg(F.count("*").alias("many")).where("many > 1").join(keep, ["_kid", "_tid"], "left_semi").limit(1).count()
-    return (kept.dropDuplicates(["_kid", "_tid"]) if repeated else kept).drop("_kid", "_tid")
+    kept = keyed.join(keep.hint("merge"), ["kid", "tid"], "left_semi")
+    repeated = each.groupBy("kid", "tid").agg(F.count("*").alias("many")).where("many > 1").join(keep, ["kid", "tid"], "left_semi").limit(1).count()
+    release(each, prints)
+    return (kept.dropDuplicates(["kid", "tid"]) if repeated else kept).select("row.*")
