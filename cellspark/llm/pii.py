@@ -106,16 +106,17 @@ def disclosing_terms(found: DataFrame, context: int = 60, evidence: int = 3, dis
     total = F.lit(float(max(found.count(), 1)))
     whose = staged(seen.select("k1", "k2", "kind", "entity").distinct().join(n_entity, "entity").where(F.col("n_entity") < total), "entities")
     terms = holders.select("k1", "k2", F.explode("words").alias("term")).distinct()
+    # A term in more documents than this can't reach the disclosure of an entity in n documents, as they have at most n in common.
+    bound = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
+    reach = whose.groupBy("k1", "k2", "kind").agg(bound(F.max("n_entity")).alias("reach"))
     # A document counts with one context for each kind, whatever the number of its entities.
-    contexts = seen.groupBy("k1", "k2", "kind").agg(F.min("context").alias("context"))
-    shown = terms.join(contexts, ["k1", "k2"]).groupBy("kind", "term", "context").agg(F.lit(1).alias("one")).groupBy("kind", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= evidence)
+    contexts = seen.groupBy("k1", "k2", "kind").agg(F.min("context").alias("context")).join(reach, ["k1", "k2", "kind"])
+    each = terms.join(contexts, ["k1", "k2"]).groupBy("kind", "term", "context").agg(F.max("reach").alias("reach"))
+    shown = each.groupBy("kind", "term").agg(F.count("*").alias("contexts"), F.max("reach").alias("reach")).where(F.col("contexts") >= evidence).alias("x")
     # How many documents hold each term: words are counted before they meet the candidates, as a candidate may be frequent.
-    held = found.select(F.explode(words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    # A term in more documents than this can't reach the disclosure of any entity of the kind, as they have at most n_entity in common.
-    bound = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
-    most = whose.groupBy("kind").agg(F.max("n_entity").alias("most"))
-    candidates = staged(shown.join(held, "term").join(most, "kind").where(F.col("n_term") <= bound(F.col("most"))).select("kind", "term", "n_term"), "candidates")
-    inside = terms.join(candidates, "term")
+    held = found.select(F.explode(words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).alias("h")
+    candidates = staged(shown.join(held, (F.col("x.term") == F.col("h.term")) & (F.col("h.n_term") <= F.col("x.reach"))).select("kind", "x.term", "n_term"), "candidates").alias("c")
+    inside = terms.join(reach, ["k1", "k2"]).alias("y").join(candidates, (F.col("y.kind") == F.col("c.kind")) & (F.col("y.term") == F.col("c.term")) & (F.col("c.n_term") <= F.col("y.reach"))).select("y.*", "c.n_term")
     pairs = staged(
         inside.join(whose, ["k1", "k2", "kind"]).where(F.col("n_term") <= bound(F.col("n_entity"))).select("k1", "k2", "entity", "term", "n_term", "n_entity"),
         "pairs",
