@@ -120,35 +120,34 @@ def smoothness(cell_rows: DataFrame, image: str = "image") -> DataFrame:
 def triplets(tiles: DataFrame, tile: int, seed: int = 42, image: str = "image") -> DataFrame:
     """GEO10: for each tile a positive (by hash: a tile of its image within 3 tile sizes, else any other, else itself) and a negative (a tile of another image, if there is one).
 
-    Near tiles come from a join on grid squares of that size; the other choices pick a
-    number by hash from numbered tiles. No two tiles meet that aren't neighbours.
+    Tiles of a grid square of that size meet those of the nine squares around it as arrays, so
+    that near pairs are never rows; the other choices pick a number by hash from an image's
+    list of tiles.
     """
     reach = 3.0 * tile
     square = lambda v: F.floor(F.col(v) / reach)
-    keyed = tiles.select(image, "tile_idx", "x", "y").withColumn("_id", F.concat_ws(":", image, "tile_idx"))
-    around = keyed.withColumn("_sx", F.explode(F.sequence(square("x") - 1, square("x") + 1))).withColumn("_sy", F.explode(F.sequence(square("y") - 1, square("y") + 1)))
-    there = keyed.select(F.col(image).alias("_img"), F.col("tile_idx").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"), square("x").alias("_qx"), square("y").alias("_qy"))
-    close = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)) <= reach
-    pick = F.md5(F.concat_ws(":", F.lit(str(seed)), "_id", "_t"))
-    near = around.join(there, (F.col(image) == F.col("_img")) & (F.col("_sx") == F.col("_qx")) & (F.col("_sy") == F.col("_qy")) & (F.col("tile_idx") != F.col("_t")) & close).groupBy(image, "tile_idx").agg(F.min(F.struct(pick.alias("h"), "_t")).alias("near"))
-    # Tiles of an image by number; another one is a hashed step ahead, cyclically.
-    numbered = keyed.withColumn("_no", F.row_number().over(Window.partitionBy(image).orderBy("tile_idx")) - 1)
-    sizes = numbered.groupBy(image).agg(F.count("*").alias("_n"))
-    images = sizes.withColumn("_image_no", F.row_number().over(Window.orderBy(hash_order(seed, image), image)) - 1)
-    n_images = F.count("*").over(Window.partitionBy())
-    images = images.withColumn("_images", n_images)
-    draw = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), "_id")), 1, 8), 16, 10).cast("bigint")
-    own = numbered.join(images, image)
-    own = own.withColumn("_other_no", F.when(F.col("_n") > 1, (F.col("_no") + 1 + draw("other") % (F.col("_n") - 1)) % F.col("_n")).otherwise(F.col("_no")))
-    own = own.withColumn("_neg_no", F.when(F.col("_images") > 1, (F.col("_image_no") + 1 + draw("image") % (F.col("_images") - 1)) % F.col("_images")).otherwise(F.col("_image_no")))
-    by_no = numbered.select(F.col(image).alias("_a_img"), F.col("_no").alias("_a_no"), F.col("tile_idx").alias("_a"))
-    neg_image = images.select(F.col("_image_no").alias("_b_no"), F.col(image).alias("neg_image"), F.col("_n").alias("_b_n"))
-    neg_tile = numbered.select(F.col(image).alias("_c_img"), F.col("_no").alias("_c_no"), F.col("tile_idx").alias("neg_tile"))
-    full = (
-        own.join(by_no, (F.col(image) == F.col("_a_img")) & (F.col("_other_no") == F.col("_a_no")))
-        .join(neg_image, F.col("_neg_no") == F.col("_b_no"))
-        .withColumn("_neg_tile_no", draw("tile") % F.col("_b_n"))
-        .join(neg_tile, (F.col("neg_image") == F.col("_c_img")) & (F.col("_neg_tile_no") == F.col("_c_no")))
-        .join(near, [image, "tile_idx"], "left")
-    )
-    return full.select(image, "tile_idx", F.coalesce("near._t", "_a").alias("pos_tile"), F.col("near").isNotNull().alias("pos_near"), "neg_image", "neg_tile")
+    name = lambda t: F.concat_ws(":", F.col(image).cast("string"), t.cast("string"))
+    member = F.struct(F.col("tile_idx").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    squares = tiles.groupBy(image, square("x").alias("_sx"), square("y").alias("_sy")).agg(F.collect_list(member).alias("_tiles"))
+    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    # Each square sends its tiles to the squares around it.
+    sent = squares.select(image, "_sx", "_sy", "_tiles", F.explode(steps).alias("_s")).select(image, (F.col("_sx") + F.col("_s.x")).alias("_sx"), (F.col("_sy") + F.col("_s.y")).alias("_sy"), F.when((F.col("_s.x") == 0) & (F.col("_s.y") == 0), F.col("_tiles")).alias("_own"), "_tiles")
+    met = sent.groupBy(image, "_sx", "_sy").agg(F.flatten(F.collect_list("_own")).alias("_own"), F.flatten(F.collect_list("_tiles")).alias("_all")).where(F.size("_own") > 0)
+    pick = lambda a, b: F.md5(F.concat_ws(":", F.lit(str(seed)), name(a.t), b.t.cast("string")))
+    close = lambda a, b: (a.t != b.t) & (F.sqrt(F.pow(a.x - b.x, 2) + F.pow(a.y - b.y, 2)) <= reach)
+    nearest = lambda a: F.array_min(F.transform(F.filter("_all", lambda b: close(a, b)), lambda b: F.struct(pick(a, b).alias("h"), b.t.alias("t"))))
+    near = met.select(image, F.explode(F.transform("_own", lambda a: F.struct(a.t.alias("t"), nearest(a).t.alias("near")))).alias("_n")).select(image, F.col("_n.t").alias("tile_idx"), F.col("_n.near").alias("_near"))
+    # Images by number, over ranges of the hash; another image or tile is a hashed step ahead, cyclically.
+    lists = tiles.groupBy(image).agg(F.sort_array(F.collect_list("tile_idx")).alias("_ts"))
+    hashed = lists.withColumn("_h", hash_order(seed, image)).withColumn("_range", F.substring("_h", 1, 3))
+    base = hashed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_images"))  # at most 4096 rows
+    images = hashed.join(F.broadcast(base), "_range").withColumn("_image_no", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", image)) - 1).select(image, "_ts", "_image_no", "_images")
+    draw = lambda salt, t: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), name(t))), 1, 8), 16, 10).cast("bigint")
+    n = F.size("_ts")
+    other = lambda t, i: F.when(n > 1, F.get("_ts", ((i + 1 + draw("other", t) % (n - 1)) % n).cast("int"))).otherwise(t)
+    step = lambda t: F.when(F.col("_images") > 1, (F.col("_image_no") + 1 + draw("image", t) % (F.col("_images") - 1)) % F.col("_images")).otherwise(F.col("_image_no"))
+    drawn = images.select(image, F.explode(F.transform("_ts", lambda t, i: F.struct(t.alias("t"), other(t, i).alias("other"), step(t).alias("no"), draw("tile", t).alias("draw")))).alias("_d"))
+    drawn = drawn.select(image, F.col("_d.t").alias("tile_idx"), F.col("_d.other").alias("_other"), F.col("_d.no").alias("_no"), F.col("_d.draw").alias("_draw"))
+    there = images.select(F.col("_image_no").alias("_no"), F.col(image).alias("neg_image"), F.col("_ts").alias("_neg"))
+    full = drawn.join(there, "_no").select(image, "tile_idx", "_other", "neg_image", F.get("_neg", (F.col("_draw") % F.size("_neg")).cast("int")).alias("neg_tile")).join(near, [image, "tile_idx"])
+    return full.select(image, "tile_idx", F.coalesce("_near", "_other").alias("pos_tile"), F.col("_near").isNotNull().alias("pos_near"), "neg_image", "neg_tile")

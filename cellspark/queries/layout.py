@@ -49,13 +49,9 @@ def _patches(spark, sf_dir):
     return G.patches(_cells(spark, sf_dir).select("image", "cell_row", "cell_col", "x0", "y0", "x1", "y1"), 512, 128, 64, 128)
 
 
-@_query("geo2_patches", f"{with_('images', 'cells')}, {_PATCHES} SELECT * FROM p WHERE image % 7 = 0")
+@_query("geo2_patches", f"{with_('images', 'cells')}, {_PATCHES} SELECT * FROM p")
 def geo2(spark, sf_dir):
-    return _patches(spark, sf_dir).where("image % 7 = 0")
-
-
-QUERIES["geo2_patches"] = lambda spark, sf_dir: _patches(spark, sf_dir)
-ORACLES["geo2_patches"] = f"{with_('images', 'cells')}, {_PATCHES} SELECT * FROM p"
+    return _patches(spark, sf_dir)
 
 
 @_query("prj9_fingerprint", f"{with_('images', 'cells')}, {_PATCHES}, h AS (SELECT *, [x0, y0, x1, y1] AS v FROM p), x AS (SELECT image, cell_row, cell_col, patch_pos, list_aggregate(list_transform(v, lambda i: printf('%02x%02x%02x%02x', i & 255, (i >> 8) & 255, (i >> 16) & 255, (i >> 24) & 255)), 'string_agg', '') AS hx FROM h) SELECT image, cell_row, cell_col, sha1(unhex(string_agg(hx, '' ORDER BY patch_pos))) AS fingerprint FROM x GROUP BY image, cell_row, cell_col")
@@ -135,11 +131,12 @@ _DRAW = "('0x' || substr(md5('42:{0}:' || id), 1, 8))::BIGINT"
 
 @_query(
     "geo10_triplets",
-    f"""{with_('images')}, k AS (SELECT image, (r * ceil(raw_w / 300) + c)::INT AS t, c * 300 AS x, r * 300 AS y, image || ':' || (r * ceil(raw_w / 300) + c)::INT AS id FROM (SELECT *, unnest(range(ceil(raw_w / 300)::INT)) AS c FROM (SELECT *, unnest(range(ceil(raw_h / 300)::INT)) AS r FROM images))),
-n AS (SELECT a.image, a.t, arg_min(b.t, md5('42:' || a.id || ':' || b.t)) AS near FROM k a JOIN k b ON a.image = b.image AND a.t <> b.t AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 900 GROUP BY 1, 2),
-z AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY t) - 1 AS no FROM k), i AS (SELECT image, count(*) AS n, row_number() OVER (ORDER BY md5('42:' || image), image) - 1 AS ino, count(*) OVER () AS m FROM k GROUP BY image),
-o AS (SELECT z.*, n, CASE WHEN n > 1 THEN (no + 1 + {_DRAW.format('other')} % (n - 1)) % n ELSE no END AS ono, CASE WHEN m > 1 THEN (ino + 1 + {_DRAW.format('image')} % (m - 1)) % m ELSE ino END AS nno, {_DRAW.format('tile')} AS td FROM z JOIN i USING (image))
-SELECT o.image, o.t AS tile_idx, coalesce(near, a.t) AS pos_tile, near IS NOT NULL AS pos_near, g.image AS neg_image, c.t AS neg_tile FROM o JOIN z a ON a.image = o.image AND a.no = o.ono JOIN i g ON g.ino = o.nno JOIN z c ON c.image = g.image AND c.no = o.td % g.n LEFT JOIN n ON n.image = o.image AND n.t = o.t""",
+    f"""{with_('images')}, k AS MATERIALIZED (SELECT image, (r * ceil(raw_w / 300) + c)::INT AS t, c * 300 AS x, r * 300 AS y, image || ':' || (r * ceil(raw_w / 300) + c)::INT AS id FROM (SELECT *, unnest(range(ceil(raw_w / 300)::INT)) AS c FROM (SELECT *, unnest(range(ceil(raw_h / 300)::INT)) AS r FROM images))),
+n AS MATERIALIZED (SELECT a.image, a.t, arg_min(b.t, md5('42:' || a.id || ':' || b.t)) AS near FROM k a JOIN k b ON a.image = b.image WHERE a.t <> b.t AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 900 GROUP BY 1, 2),
+z AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY t) - 1 AS no FROM k), i AS MATERIALIZED (SELECT image, count(*) AS n, row_number() OVER (ORDER BY md5('42:' || image), image) - 1 AS ino, count(*) OVER () AS m FROM k GROUP BY image),
+o AS MATERIALIZED (SELECT z.image, z.t, n, CASE WHEN n > 1 THEN (no + 1 + {_DRAW.format('other')} % (n - 1)) % n ELSE no END AS ono, CASE WHEN m > 1 THEN (ino + 1 + {_DRAW.format('image')} % (m - 1)) % m ELSE ino END AS nno, {_DRAW.format('tile')} AS td FROM z JOIN i USING (image)),
+g AS MATERIALIZED (SELECT o.*, i.image AS neg_image, td % i.n AS cno FROM o JOIN i ON i.ino = o.nno)
+SELECT g.image, g.t AS tile_idx, coalesce(near, a.t) AS pos_tile, near IS NOT NULL AS pos_near, neg_image, c.t AS neg_tile FROM g JOIN z a ON a.image = g.image AND a.no = g.ono JOIN z c ON c.image = g.neg_image AND c.no = g.cno LEFT JOIN n ON n.image = g.image AND n.t = g.t""",
 )
 def geo10(spark, sf_dir):
     tiles = G.covering_tiles(_raw(spark, sf_dir), 300, 300).select("image", "tile_idx", "x", "y")
