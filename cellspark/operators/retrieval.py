@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspark.functions.vectors import dot, l2_normalised
-from cellspark.operators import kernels
 
-#: Query values sent to all tasks at once; more queries go in several rounds.
-QUERY_VALUES = 32_000_000
+#: Values of one block of vectors, about; a task holds one of queries and one of items.
+BLOCK_VALUES = 8_000_000
+#: Items of a block that are worth a task of their own.
+LEAST_ITEMS = 2_000
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -26,51 +27,48 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, items: DataFrame, k: int, normalize: bool = False, exclude_fold: bool = False) -> DataFrame:
     """RET1: ``query_id, rank, item_id, score``: exact inner-product top k.
 
-    Queries (``query_id, embedding`` and, with ``exclude_fold``, ``fold``) go to all tasks in
-    chunks of a fixed size; each task keeps its k best for every query, and only those are
-    shuffled. With ``exclude_fold`` items of the query's fold don't count.
+    Queries (``query_id, embedding`` and, with ``exclude_fold``, ``fold``) and items are dealt
+    to blocks of a bounded number of values by hash; each pair of blocks is one matrix product
+    in one task, which keeps the k best items of every query, and only those are ranked. With
+    ``exclude_fold`` items of the query's fold don't count.
     """
     vec = lambda c: l2_normalised(F.col(c)) if normalize else F.col(c).cast("array<double>")
-    fold = ["fold"] if exclude_fold else []
-    rows = queries.select("query_id", *fold, vec("embedding").alias("v"))
-    width = rows.limit(1).select(F.size("v")).first()
-    if width is None:
-        return queries.sparkSession.createDataFrame([], "query_id BIGINT, rank INT, item_id BIGINT, score DOUBLE")
-    chunk = max(1, QUERY_VALUES // max(1, width[0]))
-    n = rows.count()
-    parts = -(-n // chunk)
-    source = items.select("item_id", *fold, vec("embedding").alias("v"))
-    found = None
-    for part in range(parts):
-        some = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        local = some.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(), np.array(local["v"].tolist()), local["fold"].to_numpy() if fold else None))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q, folds = shared.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                x, item = np.array(batch["v"].tolist()), batch["item_id"].to_numpy()
-                for i in range(0, len(ids), 1024):
-                    score = q[i : i + 1024] @ x.T
-                    if folds is not None:
-                        score[folds[i : i + 1024, None] == batch["fold"].to_numpy()[None]] = -np.inf
-                    m = min(k, len(x))
-                    # Ties at the border go to the smaller item.
-                    order = np.lexsort((np.broadcast_to(item, score.shape), -score), axis=1)[:, :m]
-                    s = np.take_along_axis(score, order, 1)
-                    out = pd.DataFrame({"query_id": np.repeat(ids[i : i + 1024], m), "item_id": item[order].ravel(), "score": s.ravel()})
-                    out = out[np.isfinite(out["score"])]
-                    best = out if best is None else pd.concat((best, out))
-                if best is not None and len(best) > 4 * k * len(ids):
-                    best = best.sort_values(["score", "item_id"], ascending=[False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best.sort_values(["score", "item_id"], ascending=[False, True]).groupby("query_id").head(k)
-
-        here = source.mapInPandas(run, "query_id bigint, item_id bigint, score double")
-        found = here if found is None else found.unionByName(here)
+    fold = [F.col("fold").cast("int").alias("fold")] if exclude_fold else [F.lit(None).cast("int").alias("fold")]
+    left = queries.select(F.col("query_id").alias("id"), *fold, vec("embedding").alias("v"))
+    right = items.select(F.col("item_id").alias("id"), *fold, vec("embedding").alias("v"))
+    size = lambda d: d.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    q, i = size(left), size(right)
+    across = max(1, -(-q.n * max(1, q.width or 1) // BLOCK_VALUES))
+    # Few items are still dealt to some tasks.
+    down = max(1, -(-i.n * max(1, i.width or 1) // BLOCK_VALUES), min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // across, -(-i.n // LEAST_ITEMS)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("*", block(across).alias("column"), to(down).alias("row")).select("id", "fold", "v", (F.col("column") * down + F.col("row")).alias("task"))
+    right = right.select("*", block(down).alias("row"), to(across).alias("column")).select("id", "fold", "v", (F.col("column") * down + F.col("row")).alias("task"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": a["id"][:0], "item_id": b["id"][:0], "score": np.zeros(0)})
+        x, item, folds, out = np.array(b["v"].tolist()), b["id"].to_numpy(), b["fold"].to_numpy(), []
+        m = min(k, len(b))
+        for at in range(0, len(a), 1024):
+            part = a.iloc[at : at + 1024]
+            score = np.array(part["v"].tolist()) @ x.T
+            if exclude_fold:
+                score[part["fold"].to_numpy()[:, None] == folds[None]] = -np.inf
+            # All that reach the m-th best score; ties at the border go to the smaller item.
+            least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+            row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+            order = np.lexsort((item[column], -score[row, column], row))
+            row, column = row[order], column[order]
+            first = np.searchsorted(row, np.arange(len(part)))
+            keep = np.arange(len(row)) - first[row] < m
+            row, column = row[keep], column[keep]
+            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[row], "item_id": item[column], "score": score[row, column]}))
+        return pd.concat(out)
+
+    kinds = f"query_id {left.schema['id'].dataType.simpleString()}, item_id {right.schema['id'].dataType.simpleString()}, score double"
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(best, kinds)
     return _ranked(found, k).select("query_id", "rank", "item_id", "score")
 
 
