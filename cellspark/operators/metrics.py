@@ -71,7 +71,9 @@ def matched(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[floa
         raise ValueError(f"IoU thresholds must lie in (0, 1): {bad}")
     p, t = predictions.where(F.col("label") == label).alias("p"), truths.where(F.col("label") == label).alias("t")
     box = lambda a: [f"{a}.x0", f"{a}.y0", f"{a}.x1", f"{a}.y1"]
-    pairs = p.join(t, F.col(f"p.{image}") == F.col(f"t.{image}")).select(f"p.{image}", "p.pred_id", "t.gt_id", iou("p", "t").alias("iou"))
+    meet = (F.col("p.x0") < F.col("t.x1")) & (F.col("t.x0") < F.col("p.x1")) & (F.col("p.y0") < F.col("t.y1")) & (F.col("t.y0") < F.col("p.y1"))
+    # Boxes that don't meet have no overlap and reach no threshold.
+    pairs = p.join(t, (F.col(f"p.{image}") == F.col(f"t.{image}")) & meet).select(f"p.{image}", "p.pred_id", "t.gt_id", iou("p", "t").alias("iou"))
     best = pairs.groupBy(image, "pred_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("b")).select(image, "pred_id", F.col("b.iou").alias("iou"), (-F.col("b.g")).alias("gt_id"))
     each = p.select(image, "pred_id", "score").join(best, [image, "pred_id"], "left").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     reach = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
@@ -79,41 +81,61 @@ def matched(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[floa
     return each.withColumn("tp", (reach & (F.row_number().over(w) == 1)).cast("int"))
 
 
-def average_precision(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[float] = (0.5,), image: str = "image_id", label: int = 1) -> DataFrame:
+def average_precision(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[float] = (0.5,), image: str = "image_id", label: int = 1, ranges: int = 4096) -> DataFrame:
     """MET6, MET7: ``threshold, predictions, truths, ap``: area under the precision envelope over recall, from (0, 0) to recall 1.
 
-    Rows are counted per score first, so that the running sums go over distinct scores of a
-    threshold; among equal scores the smaller prediction id comes first.
+    Predictions are dealt to ``ranges`` of the score, whose counts are summed first, so that
+    running sums go side by side; among equal scores the smaller prediction id comes first.
     """
     n = F.broadcast(truths.where(F.col("label") == label).agg(F.count("*").alias("truths")))  # one row
-    rows = matched(predictions, truths, thresholds, image, label).crossJoin(n)
-    order = Window.partitionBy("threshold").orderBy(F.desc("score"), "pred_id")
+    scores = F.broadcast(predictions.where(F.col("label") == label).agg(F.max("score").alias("_hi"), F.min("score").alias("_lo")))  # one row
+    rows = matched(predictions, truths, thresholds, image, label).crossJoin(n).crossJoin(scores)
+    rows = rows.withColumn("_range", F.coalesce(F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(0)))
+    counts = rows.groupBy("threshold", "_range").agg(F.sum("tp").alias("_tp"), F.count("*").alias("_n"))
+    before = Window.partitionBy("threshold").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("threshold", "_range", F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    order = Window.partitionBy("threshold", "_range").orderBy(F.desc("score"), "pred_id")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = rows.withColumn("tps", F.sum("tp").over(run)).withColumn("seen", F.count("*").over(run))
-    curve = curve.withColumn("recall", F.col("tps") / (F.col("truths") + 1e-6)).withColumn("precision", F.col("tps") / (F.col("seen") + 1e-6))
-    # The best precision from here on: a running maximum in the opposite order.
-    back = Window.partitionBy("threshold").orderBy(F.asc("score"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    envelope = F.max("precision").over(back)
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))
-    found = curve.withColumn("step", step).withColumn("area", F.col("step") * envelope).groupBy("threshold").agg(F.count("*").alias("predictions"), F.sum("area").alias("ap"))
+    curve = rows.join(base, ["threshold", "_range"]).withColumn("tps", F.col("_tp0") + F.sum("tp").over(run)).withColumn("seen", F.col("_n0") + F.count("*").over(run))
+    curve = curve.withColumn("precision", F.col("tps") / (F.col("seen") + 1e-6)).withColumn("step", F.col("tp") / (F.col("truths") + 1e-6))
+    # The best precision from here on: inside the range, a running maximum in the opposite order; behind it, that of the later ranges.
+    back = Window.partitionBy("threshold", "_range").orderBy(F.asc("score"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("threshold").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    best = curve.groupBy("threshold", "_range").agg(F.max("precision").alias("_best")).select("threshold", "_range", F.coalesce(F.max("_best").over(later), F.lit(0.0)).alias("_later"))
+    areas = curve.withColumn("_here", F.max("precision").over(back)).join(best, ["threshold", "_range"])
+    found = areas.groupBy("threshold").agg(F.count("*").alias("predictions"), F.sum(F.col("step") * F.greatest("_here", "_later")).alias("ap"))
     grid = n.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return grid.join(found, "threshold", "left").select("threshold", F.coalesce("predictions", F.lit(0)).alias("predictions"), "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).otherwise(0.0).alias("ap"))
 
 
-#: The two forms of a metric in a retrieval log.
-WITH_STD = r"Recall@(\d+):\s+([0-9.]+)\s+±\s+([0-9.]+).*?mAP@\1:\s+([0-9.]+)\s+±\s+([0-9.]+)"
-PLAIN = r"Recall@(\d+):\s+([0-9.]+).*?mAP@\1:\s+([0-9.]+)"
+#: The names of the two metrics in a retrieval log, before "@", k and a colon.
+RECALL, MEAN_PRECISION = "Recall", "mAP"
 
 
 def parse_logs(logs: DataFrame, key: str = "log", text: str = "text") -> DataFrame:
-    """MET8: ``key, metric, value`` of each log: values with deviations, or plain ones where there are none such; a log without either has no row."""
-    each = lambda pattern, i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-    std = F.arrays_zip(*[each(WITH_STD, i).alias(f"g{i}") for i in range(1, 6)])
-    plain = F.arrays_zip(*[each(PLAIN, i).alias(f"g{i}") for i in range(1, 4)])
-    pair = lambda name, x, g, tail="": F.struct(F.concat(F.lit(f"{name}_at_"), x["g1"], F.lit(tail)).alias("metric"), x[g].cast("double").alias("value"))
-    a = F.flatten(F.transform(std, lambda x: F.array(pair("recall", x, "g2"), pair("recall", x, "g3", "_std"), pair("map", x, "g4"), pair("map", x, "g5", "_std"))))
-    b = F.flatten(F.transform(plain, lambda x: F.array(pair("recall", x, "g2"), pair("map", x, "g3"))))
-    rows = logs.select(key, F.posexplode(F.when(F.size(a) > 0, a).otherwise(b)).alias("pos", "x"))
+    """MET8: ``key, metric, value`` of each log: values with deviations, or plain ones where there are none such; a log without either has no row.
+
+    An entry is a recall and, later on its line, the mean precision at the same k.
+    """
+    number = lambda c: F.regexp_extract(c, r"^\s+([0-9.]+)", 1)
+    spread = lambda c: F.regexp_extract(c, r"^\s+[0-9.]+\s+±\s+([0-9.]+)", 1)
+    lines = logs.select(key, F.posexplode(F.split(text, "\n")).alias("_line", "_text"))
+    # What follows each "Recall@" of a line.
+    parts = F.split("_text", f"{RECALL}@")
+    after = F.transform(F.slice(parts, 2, 1_000_000), lambda x, i: F.array_join(F.slice(parts, i + 2, F.size(parts)), f"{RECALL}@"))
+    entries = lines.select(key, "_line", F.posexplode(after).alias("_part", "_text"))
+    k = F.regexp_extract("_text", r"^(\d+):", 1)
+    entries = entries.withColumn("_k", k).where(F.col("_k") != "").withColumn("_recall", F.substring_index(F.expr("substring(_text, length(_k) + 2)"), f"{MEAN_PRECISION}@", 1))
+    mark = F.concat(F.lit(f"{MEAN_PRECISION}@"), "_k", F.lit(":"))
+    entries = entries.withColumn("_at", F.call_function("locate", mark, F.col("_text"))).where(F.col("_at") > 0).withColumn("_map", F.call_function("substring", F.col("_text"), F.col("_at") + F.length(mark)))
+    values = entries.select(key, "_line", "_part", "_k", number("_recall").alias("recall"), spread("_recall").alias("recall_std"), number("_map").alias("map"), spread("_map").alias("map_std")).where((F.col("recall") != "") & (F.col("map") != ""))
+    values = values.withColumn("_full", (F.col("recall_std") != "") & (F.col("map_std") != ""))
+    with_spread = values.groupBy(key).agg(F.bool_or("_full").alias("_any"))
+    kept = values.join(with_spread, key).where(F.col("_full") | ~F.col("_any"))
+    metric = lambda name, tail, c: F.struct(F.concat(F.lit(f"{name}_at_"), "_k", F.lit(tail)).alias("metric"), F.col(c).cast("double").alias("value"))
+    plain = F.array(metric("recall", "", "recall"), metric("map", "", "map"))
+    full = F.array(metric("recall", "", "recall"), metric("recall", "_std", "recall_std"), metric("map", "", "map"), metric("map", "_std", "map_std"))
+    rows = kept.select(key, F.struct("_line", "_part").alias("pos"), F.explode(F.when(F.col("_any"), full).otherwise(plain)).alias("x"))
     # A metric that a log names twice has its last value.
     return rows.groupBy(key, "x.metric").agg(F.max_by("x.value", "pos").alias("value"))
 

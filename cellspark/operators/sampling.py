@@ -19,6 +19,17 @@ def _first_per(rows: DataFrame, group: list[str], order: Column, n: int | Column
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col(name) <= n)
 
 
+def numbered(rows: DataFrame, group: str, order: Column, name: str) -> DataFrame:
+    """Adds a number, from 1, in the hash order of the row's group. Ranges of the hash are counted first and numbered side by side, so that no task sorts a whole group; groups may be null."""
+    keyed = rows.withColumn("_h", order).withColumn("_range", F.substring("_h", 1, 3))
+    counts = keyed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_group", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = keyed.withColumn("_in", F.row_number().over(Window.partitionBy(group, "_range").orderBy("_h")))
+    joined = inside.join(base, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn(name, F.col("_base") + F.col("_in")).drop("_h", "_range", "_group", "_of", "_base", "_in")
+
+
 def cap_per_class(rows: DataFrame, label: str, key: str, cap: int, seed: int = 42) -> DataFrame:
     """SMP3: at most ``cap`` rows of each class."""
     return _first_per(rows, [label], hash_order(seed, key), cap, cap).drop("_rank")
@@ -35,7 +46,7 @@ def sample_stratified(rows: DataFrame, label: str, key: str, n: int, seed: int =
     number = F.row_number().over(Window.orderBy(label))
     quotas = sizes.withColumn("_quota", F.least(F.col("_size"), F.lit(quota) + F.when(number <= extra, 1).otherwise(0))).select(F.col(label).alias("_class"), "_quota")
     order = hash_order(seed, key)
-    ranked = rows.join(F.broadcast(quotas), F.col(label) == F.col("_class")).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+    ranked = numbered(rows, label, order, "_rank").join(quotas, F.col(label) == F.col("_class"))
     # The quotas' rows first, in class and hash order, then the others: the first n of that.
     first = F.col("_rank") <= F.col("_quota")
     return ranked.withColumn("_late", F.when(first, 0).otherwise(1)).orderBy("_late", F.when(first, F.col("_rank")), order).limit(n).drop("_class", "_quota", "_rank", "_late")
@@ -44,15 +55,15 @@ def sample_stratified(rows: DataFrame, label: str, key: str, n: int, seed: int =
 def sample_fraction(rows: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """SMP2: ``max(1, int(count * fraction))`` rows of each class."""
     sizes = rows.groupBy(label).agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_quota")).withColumnRenamed(label, "_class")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key))))
-    return ranked.join(F.broadcast(sizes), F.col(label) == F.col("_class")).where(F.col("_rank") <= F.col("_quota")).drop("_class", "_quota", "_rank")
+    ranked = numbered(rows, label, hash_order(seed, key), "_rank")
+    return ranked.join(sizes, F.col(label) == F.col("_class")).where(F.col("_rank") <= F.col("_quota")).drop("_class", "_quota", "_rank")
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int, seed: int = 42) -> DataFrame:
     """SMP4: adds ``fold``, shuffled in class, then dealt round."""
     if folds < 2:
         raise ValueError("folds must be at least 2")
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key))) - 1) % folds)
+    return numbered(rows, label, hash_order(seed, key), "_no").withColumn("fold", ((F.col("_no") - 1) % folds).cast("int")).drop("_no")
 
 
 def subsample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
@@ -74,7 +85,7 @@ def subsample_tokens(tokens: DataFrame, target: int, seed: int = 42, cell: str =
 
 def fit_sample(tokens: DataFrame, image: str, key: str, most: int, seed: int = 42) -> DataFrame:
     """SMP7: up to ``most`` vectors of each image."""
-    return _first_per(tokens, [image], hash_order(seed, key), most).drop("_rank")
+    return _first_per(tokens, [image], hash_order(seed, key), most, most).drop("_rank")
 
 
 def group_order(cells: DataFrame, image: str, cell: str, ranks: int, per_group: int, seed: int = 42, epoch: int = 0) -> DataFrame:
