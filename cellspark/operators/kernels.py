@@ -29,7 +29,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sinkhorn(p: np.ndarray, q: np.ndarray, cost: np.ndarray, eps: float = 0.05, iterations: int = 50) -> np.ndarray:
-    """Entropic transport cost of each pair of rows: log-domain updates, columns exact at the end."""
+    """Entropic transport cost of each pair of rows: log-domain updates, plans with ``q`` along the rows and ``p`` along the columns, columns exact at the end."""
 
     def marginal(x: np.ndarray) -> np.ndarray:
         x = np.maximum(x, 1e-8)
@@ -39,7 +39,7 @@ def sinkhorn(p: np.ndarray, q: np.ndarray, cost: np.ndarray, eps: float = 0.05,
         top = x.max(axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
-    a, b, k = marginal(p), marginal(q), -cost / eps
+    a, b, k = marginal(q), marginal(p), -cost / eps
     u, v = np.zeros_like(a), np.zeros_like(b)
     for _ in range(iterations):
         u = a - soft_sum(k[None] + v[:, None, :], 2)
@@ -53,14 +53,6 @@ def index_cost(k: int) -> np.ndarray:
     return np.abs(i[:, None] - i[None]) / max(1, k - 1)
 
 
-def top_k(queries: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and inner products of the k best rows of the block for each query."""
-    s = queries @ block.T
-    k = min(k, s.shape[1])
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
-    return at, np.take_along_axis(s, at, 1)
-
-
 def pool_2x2(tokens: np.ndarray, side: int) -> np.ndarray:
     """Average of 2 x 2 neighbours of a row-major grid of tokens."""
     return tokens.reshape(side // 2, 2, side // 2, 2, -1).mean((1, 3)).reshape((side // 2) ** 2, -1)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,13 +23,16 @@ from cellspark.operators.sampling import hash_order, subsample
 
 #: Centroid values that may go to all tasks; larger vocabularies are refused.
 MOST_VALUES = 64_000_000
+#: Words up to which a histogram is summed bin by bin.
+MOST_SUMS = 32
 
 
 def matrix(table: DataFrame, key: str = "word", vector: str = "centroid") -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of a small table, ordered by key."""
+    size = table.agg(F.count("*").alias("n"), F.sum(F.size(vector)).alias("values")).first()
+    if (size["values"] or 0) > MOST_VALUES:
+        raise ValueError(f"{size.n} vectors are too many to send to all tasks")
     rows = table.select(key, F.col(vector).cast("array<double>").alias("v")).orderBy(key).collect()
-    if rows and len(rows) * len(rows[0].v) > MOST_VALUES:
-        raise ValueError(f"{len(rows)} vectors are too many to send to all tasks")
     return np.array([r[0] for r in rows]), np.array([r.v for r in rows], np.float64)
 
 
@@ -171,18 +175,26 @@ def soft_histograms(tokens: DataFrame, vocabulary: DataFrame, beta: float = 10.0
     words, centroids = matrix(vocabulary)
     shared = tokens.sparkSession.sparkContext.broadcast(kernels.unit_rows(centroids))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                w = kernels.soft_weights(kernels.unit_rows(_stack(batch["_v"])), shared.value, beta, floor)
-                cell, at = np.unique(batch["cell_id"].to_numpy(), return_inverse=True)
-                sums = np.zeros((len(cell), w.shape[1]))
-                np.add.at(sums, at, w)
-                yield pd.DataFrame({"cell_id": cell, "part": list(sums)})
+            if batch.num_rows:
+                codes = batch.column("cell_id").dictionary_encode()
+                at = codes.indices.to_numpy()
+                order = np.argsort(at, kind="stable")
+                flat = batch.column("_v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                w = kernels.soft_weights(kernels.unit_rows(flat[order]), shared.value, beta, floor)
+                firsts = np.flatnonzero(np.diff(at[order], prepend=-1))
+                sums = np.add.reduceat(w, firsts, axis=0)
+                offsets = pa.array(np.arange(len(firsts) + 1, dtype=np.int32) * sums.shape[1])
+                yield pa.record_batch([codes.dictionary, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], ["cell_id", "part"])
 
     kind = tokens.schema["cell_id"].dataType.simpleString()
-    parts = tokens.select("cell_id", F.col("token").cast("array<double>").alias("_v")).mapInPandas(run, f"cell_id {kind}, part array<double>")
-    sums = parts.groupBy("cell_id").agg(sum_vector(F.col("part")).alias("h"))
+    parts = tokens.select("cell_id", F.col("token").cast("array<double>").alias("_v")).mapInArrow(run, f"cell_id {kind}, part array<double>")
+    # Few words: one sum for each, in generated code; many: a vector of sums.
+    if len(words) <= MOST_SUMS:
+        sums = parts.groupBy("cell_id").agg(*[F.sum(F.get("part", F.lit(i))).alias(f"w{i}") for i in range(len(words))]).select("cell_id", F.array(*[F.col(f"w{i}") for i in range(len(words))]).alias("h"))
+    else:
+        sums = parts.groupBy("cell_id").agg(sum_vector(F.col("part")).alias("h"))
     return sums.select("cell_id", l1_normalised(F.col("h"), floor).alias("histogram"))
 
 
@@ -376,6 +388,9 @@ def transport_cost(pairs: DataFrame, cost: DataFrame | None = None, eps: float =
     """VEC22: ``carry…, emd`` of pairs of histograms; without ``cost`` (``i, j, cost``) that is the normalised index distance."""
     table = None
     if cost is not None:
+        n = cost.count()
+        if n > MOST_VALUES:
+            raise ValueError(f"{n} costs are too many to send to all tasks")
         rows = cost.orderBy("i", "j").collect()  # K x K
         k = int(round(len(rows) ** 0.5))
         table = np.array([r.cost for r in rows], np.float64).reshape(k, k)

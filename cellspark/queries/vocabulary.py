@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellspark.functions.vectors import l2_normalised
+from cellspark.functions.vectors import dot, l1_distance, l2_normalised, mean_vector
 from cellspark.operators import analytics as A
 from cellspark.operators import vectors as X
 from cellspark.plans import views as V
 from cellspark.plans.views import with_
+from cellspark.schemas import CATEGORIES, THEMES
 from cellspark.sources import sinks as K
 
 QUERIES: dict = {}
@@ -111,6 +112,45 @@ def vec6(spark, sf_dir):
     return _flat(X.standardised(t.where("vec_id % 2 = 0"), t), "token", ("vec_id",))
 
 
+@_query("vec7_pca_checks", "SELECT vec_id, 8 AS dims, true AS unit FROM embeddings")
+def vec7b(spark, sf_dir):
+    """Width and length of every projected vector."""
+    out = X.pca(V.tokens(spark, sf_dir).select("vec_id", "token"), 8)
+    return out.select("vec_id", F.size("token").alias("dims"), (F.abs(dot(F.col("token"), F.col("token")) - 1) < 1e-9).alias("unit"))
+
+
+@_query("vec8_kmeans_checks", "SELECT 10 AS words, count(*) AS points, true AS nearest, true AS settled FROM embeddings")
+def vec8b(spark, sf_dir):
+    """The reported error is that of the nearest centroids, and every centroid is the mean of its points."""
+    t = V.tokens(spark, sf_dir)
+    words, error = X.kmeans(t, 10, iterations=200, restarts=1)
+    assigned = X.assign(t, words, carry=("token",))
+    means = assigned.groupBy("word").agg(mean_vector(F.col("token")).alias("mean"), F.count("*").alias("n"), F.sum("distance2").alias("d"))
+    apart = l1_distance(F.col("mean"), F.col("centroid"))
+    both = words.join(means, "word")
+    return both.agg(F.count("*").cast("int").alias("words"), F.sum("n").alias("points"), (F.abs(F.sum("d") / F.sum("n") - error) < 1e-6).alias("nearest"), (F.max(apart) < 0.05).alias("settled"))
+
+
+@_query("vec9_methods", "SELECT m AS method, count(*) AS points, true AS in_range FROM embeddings, (SELECT unnest(['kmeans', 'minibatch', 'bisecting', 'gmm']) AS m) GROUP BY m")
+def vec9b(spark, sf_dir):
+    """Every method gives every point one of k clusters."""
+    short = V.tokens(spark, sf_dir).select("vec_id", F.slice("token", 1, 4).alias("token"))
+    out = None
+    for m in ("kmeans", "minibatch", "bisecting", "gmm"):
+        part = X.cluster(short, m, 4).agg(F.lit(m).alias("method"), F.count("*").alias("points"), ((F.min("cluster") >= 0) & (F.max("cluster") < 4)).alias("in_range"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query("vec16_k_sweep_checks", "SELECT k, true AS sized, true AS scored FROM (SELECT unnest([4, 8]) AS k)")
+def vec16b(spark, sf_dir):
+    """Sizes and silhouettes of a sweep lie where they must."""
+    t = V.tokens(spark, sf_dir)
+    n = t.count()
+    out = X.k_sweep(t.select(F.col("vec_id").alias("id"), "token"), (4, 8))
+    return out.select("k", ((F.col("smallest") * F.col("k") <= n) & (F.col("largest") * F.col("k") >= n)).alias("sized"), (F.col("silhouette").between(-1, 1) & (F.col("error") > 0)).alias("scored"))
+
+
 @_query("vec7_pca")
 def vec7(spark, sf_dir):
     return X.pca(V.tokens(spark, sf_dir).select("vec_id", "token"), 8)
@@ -195,9 +235,14 @@ def vec14(spark, sf_dir):
     return _round(X.random_pair_l1(histograms(spark, sf_dir)), "mean", "std", "lo", "hi")
 
 
-@_query("vec15_silhouette")
+@_query(
+    "vec15_silhouette",
+    f"""{with_('tokens')}, p AS (SELECT vec_id, label, token FROM tokens WHERE label >= 0 ORDER BY md5('42:' || vec_id), vec_id LIMIT 20000), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.token, b.token)) AS s, count(*) AS n FROM p a, p b GROUP BY ALL),
+w AS (SELECT vec_id, max(CASE WHEN label = other THEN n END) AS own, max(CASE WHEN label = other THEN s / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT count(*) AS n, round(avg(CASE WHEN own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM w""",
+)
 def vec15(spark, sf_dir):
-    return X.silhouette(V.tokens(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", F.col("token").alias("v")))
+    return _round(X.silhouette(V.tokens(spark, sf_dir).select(F.col("vec_id").alias("id"), "label", F.col("token").alias("v"))), "silhouette")
 
 
 @_query("vec16_k_sweep")
@@ -254,7 +299,18 @@ def vec21(spark, sf_dir):
     return X.reassign_noise(rows).select("vec_id", "label")
 
 
-@_query("vec22_transport")
+#: Transport between neighbouring cells by recursion: a round takes new row factors from the second, then column factors from the first histogram.
+_TRANSPORT = f"""WITH RECURSIVE {_H.removeprefix('WITH ')}, {_ARR},
+c AS MATERIALIZED (SELECT list(row_ ORDER BY i) AS c FROM (SELECT a.word AS i, list(CASE WHEN a.word = b.word THEN 0 ELSE least(1, greatest(0, 1 - list_cosine_similarity(a.centroid, b.centroid))) END ORDER BY b.word) AS row_ FROM vocabulary a, vocabulary b GROUP BY a.word)),
+m AS MATERIALIZED (SELECT cell_id, list_transform(clamped, lambda x: ln(x / list_sum(clamped))) AS l FROM (SELECT cell_id, list_transform(histogram, lambda x: greatest(x, 1e-8)) AS clamped FROM arr)),
+s AS (SELECT a.cell_id AS pair_id, a.l AS p, b.l AS q, c, 0 AS n, list_transform(range(8), lambda j: 0.0::DOUBLE) AS u, list_transform(range(8), lambda j: 0.0::DOUBLE) AS v FROM m a JOIN m b ON b.cell_id = a.cell_id + 1, c
+  UNION ALL
+  SELECT pair_id, p, q, c, n + 1, u, list_transform(range(8), lambda j: p[j + 1] - ln(list_sum(list_transform(range(8), lambda i: exp(-c[i + 1][j + 1] / 0.05 + u[i + 1]))))) FROM
+  (SELECT pair_id, p, q, c, n, v, list_transform(range(8), lambda i: q[i + 1] - ln(list_sum(list_transform(range(8), lambda j: exp(-c[i + 1][j + 1] / 0.05 + v[j + 1]))))) AS u FROM s WHERE n < 50))
+SELECT pair_id, round(list_sum(list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda j: c[i + 1][j + 1] * exp(-c[i + 1][j + 1] / 0.05 + u[i + 1] + v[j + 1]))))), 6) AS emd FROM s WHERE n = 50"""
+
+
+@_query("vec22_transport", _TRANSPORT)
 def vec22(spark, sf_dir):
     h = histograms(spark, sf_dir)
     pairs = h.alias("a").join(h.alias("b"), F.col("b.cell_id") == F.col("a.cell_id") + 1).select(F.col("a.cell_id").alias("pair_id"), F.col("a.histogram").alias("p"), F.col("b.histogram").alias("q"))
@@ -335,23 +391,42 @@ e AS (SELECT word, cell_id, pos, w, row_number() OVER (PARTITION BY word, cell_i
 SELECT word, rank, cell_id, pos, pos // 4 AS token_row, pos % 4 AS token_col, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY w DESC, cell_id, pos)::INT AS rank FROM e) WHERE rank <= 16""",
 )
 def anl9(spark, sf_dir):
-    w = A.token_weights(V.tokens(spark, sf_dir), V.vocabulary(spark, sf_dir))
-    out = A.top_patches(histograms(spark, sf_dir), w, side=4)
+    h = histograms(spark, sf_dir)
+    heavy = A.top_rows(h, 8).select("cell_id").distinct()
+    w = A.token_weights(V.tokens(spark, sf_dir).join(heavy, "cell_id", "left_semi"), V.vocabulary(spark, sf_dir))
+    out = A.top_patches(h, w, cells=8, side=4)
     return _round(out.withColumns({c: F.col(c).cast("int") for c in ("token_row", "token_col")}), "weight")
 
 
+_WIDE = _H.replace("vec_id < 8", "vec_id < 16")
+
+
 @_query(
     "anl10_pair_metrics",
-    f"""{_H}, t AS (SELECT word, cell_id FROM (SELECT word, cell_id, row_number() OVER (PARTITION BY word ORDER BY h DESC, cell_id) AS r FROM hist) WHERE r <= 16), m AS (SELECT t.word, h.word AS bin, avg(h) AS v FROM hist h JOIN t ON t.cell_id = h.cell_id GROUP BY t.word, h.word)
-SELECT a.word AS i, b.word AS j, round(corr(a.v, b.v), 6) AS correlation, round(sum(abs(a.v - b.v)), 6) AS l1, 8 AS overlap FROM m a JOIN m b ON a.bin = b.bin AND a.word < b.word GROUP BY a.word, b.word""",
+    f"""{_WIDE}, t AS (SELECT word, cell_id FROM (SELECT word, cell_id, row_number() OVER (PARTITION BY word ORDER BY h DESC, cell_id) AS r FROM hist) WHERE r <= 16), m AS (SELECT t.word, h.word AS bin, avg(h) AS v FROM hist h JOIN t ON t.cell_id = h.cell_id GROUP BY t.word, h.word),
+b AS (SELECT word, list(bin ORDER BY v DESC, bin)[1:10] AS bins FROM m GROUP BY word)
+SELECT a.word AS i, c.word AS j, round(corr(a.v, c.v), 6) AS correlation, round(sum(abs(a.v - c.v)), 6) AS l1, len(list_intersect(any_value(x.bins), any_value(y.bins))) AS overlap FROM m a JOIN m c ON a.bin = c.bin AND a.word < c.word JOIN b x ON x.word = a.word JOIN b y ON y.word = c.word GROUP BY a.word, c.word""",
 )
 def anl10(spark, sf_dir):
-    words = V.vocabulary(spark, sf_dir).select("word")
+    words = V.vocabulary(spark, sf_dir, 16)
     pairs = words.select(F.col("word").alias("i")).join(F.broadcast(words.select(F.col("word").alias("j"))), F.col("i") < F.col("j"))
-    return _round(A.pair_metrics(histograms(spark, sf_dir), pairs), "correlation", "l1")
+    return _round(A.pair_metrics(X.soft_histograms(V.tokens(spark, sf_dir), words), pairs), "correlation", "l1")
+
+
+#: The greedy choice by recursion over the slots: a theme's best row unless it is taken, the best free one where a theme has none; then others.
+_THEMED = ", ".join(f"({k}, '{t}', {CATEGORIES.index(c)})" for k, (t, cs) in enumerate(THEMES.items()) for c in cs)
+_PICKS = f"""WITH RECURSIVE {_H.removeprefix('WITH ')}, {_LAB}, e AS MATERIALIZED (SELECT cell_id, label, round(-sum(h * ln(h + 1e-12)), 9) AS e FROM hist JOIN lab USING (cell_id) GROUP BY cell_id, label),
+a AS MATERIALIZED (SELECT list({{'c': cell_id, 'e': e}} ORDER BY e DESC, cell_id) AS free FROM e), t(slot, theme, label) AS (VALUES {_THEMED}),
+b AS MATERIALIZED (SELECT slot, theme, arg_min({{'c': cell_id, 'e': e}}, (-e, cell_id)) FILTER (cell_id IS NOT NULL) AS best FROM t LEFT JOIN e USING (label) GROUP BY slot, theme),
+s AS (SELECT -1 AS slot, (SELECT free FROM a) AS free, [] ::STRUCT(theme VARCHAR, c BIGINT, e DOUBLE)[] AS picked
+  UNION ALL
+  SELECT slot, list_filter(free, lambda x: x.c <> coalesce(pick.c, -1)), CASE WHEN list_contains(list_transform(free, lambda x: x.c), pick.c) THEN list_append(picked, {{'theme': theme, 'c': pick.c, 'e': pick.e}}) ELSE picked END
+  FROM (SELECT b.slot, b.theme, s.free, s.picked, CASE WHEN b.best.c IS NULL THEN s.free[1] ELSE b.best END AS pick FROM s JOIN b ON b.slot = s.slot + 1)),
+z AS (SELECT list_concat(picked, list_transform(free[1:greatest(0, 8 - len(picked))], lambda x: {{'theme': NULL::VARCHAR, 'c': x.c, 'e': x.e}})) AS p FROM s WHERE slot = {len(THEMES) - 1})
+SELECT (i - 1)::INT AS slot, p[i].theme AS theme, p[i].c AS cell_id, round(p[i].e, 6) AS entropy FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM z)"""
 
 
-@_query("anl11_themes")
+@_query("anl11_themes", _PICKS)
 def anl11(spark, sf_dir):
     return _round(A.theme_examples(labelled(spark, sf_dir)), "entropy")
 
@@ -361,10 +436,30 @@ def anl12(spark, sf_dir):
     return _round(A.sparsest(histograms(spark, sf_dir)), "peak", "entropy")
 
 
-@_query("anl13_diverse_words")
+def _greedy(n: int) -> str:
+    """One step for each further word: relative weight minus similarity to the words chosen."""
+    steps = ["g1 AS MATERIALIZED (SELECT cell_id, [word] AS chosen FROM o WHERE r = 1)"]
+    for k in range(2, n + 1):
+        steps.append(
+            f"""g{k} AS MATERIALIZED (SELECT cell_id, list_append(chosen, arg_max(word, (rel - 0.82 * sim, -sim, rel, -word))) AS chosen FROM (
+  SELECT g.cell_id, g.chosen, o.word, any_value(o.rel) AS rel, max(m.s) AS sim FROM g{k - 1} g JOIN o ON o.cell_id = g.cell_id AND o.inside AND NOT list_contains(g.chosen, o.word) JOIN m ON m.cell_id = o.cell_id AND m.a = o.word AND list_contains(g.chosen, m.b) GROUP BY g.cell_id, g.chosen, o.word) GROUP BY cell_id, chosen)"""
+        )
+    return ",\n".join(steps)
+
+
+_DIVERSE = f"""{_H}, r AS MATERIALIZED (SELECT cell_id, word, h, row_number() OVER (PARTITION BY cell_id ORDER BY h DESC, word) AS r, max(h) OVER (PARTITION BY cell_id) AS h0 FROM hist),
+o AS MATERIALIZED (SELECT *, h / (h0 + 1e-8) AS rel, (h >= h0 * 0.18) OR count(*) FILTER (h >= h0 * 0.18) OVER (PARTITION BY cell_id) < 6 AS inside FROM r),
+x AS MATERIALIZED (SELECT cell_id, word, list(w ORDER BY pos) AS w FROM weights GROUP BY cell_id, word),
+m AS MATERIALIZED (SELECT a.cell_id, a.word AS a, b.word AS b, CASE WHEN sqrt(list_dot_product(a.w, a.w)) > 1e-8 AND sqrt(list_dot_product(b.w, b.w)) > 1e-8 THEN list_dot_product(a.w, b.w) / (sqrt(list_dot_product(a.w, a.w)) * sqrt(list_dot_product(b.w, b.w))) ELSE 0 END AS s FROM x a JOIN x b USING (cell_id)),
+{_greedy(6)}
+SELECT cell_id, array_to_string(chosen, ',') AS words FROM g6"""
+
+
+@_query("anl13_diverse_words", _DIVERSE)
 def anl13(spark, sf_dir):
     w = A.token_weights(V.tokens(spark, sf_dir), V.vocabulary(spark, sf_dir)).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("pos", "weights"))).alias("t"))
-    return A.diverse_words(histograms(spark, sf_dir).join(w.select("cell_id", F.transform("t", lambda x: x.weights).alias("weights")), "cell_id"))
+    out = A.diverse_words(histograms(spark, sf_dir).join(w.select("cell_id", F.transform("t", lambda x: x.weights).alias("weights")), "cell_id"))
+    return out.select("cell_id", F.array_join("words", ",").alias("words"))
 
 
 @_query(
