@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellspark.queries import curation, layout, retrieval, vocabulary
+from cellspark.queries import curation, files, layout, retrieval, vocabulary
 
-QUERIES = {**curation.QUERIES, **layout.QUERIES, **vocabulary.QUERIES, **retrieval.QUERIES}
-ORACLES = {**curation.ORACLES, **layout.ORACLES, **vocabulary.ORACLES, **retrieval.ORACLES}
+QUERIES = {**curation.QUERIES, **layout.QUERIES, **vocabulary.QUERIES, **retrieval.QUERIES, **files.QUERIES}
+ORACLES = {**curation.ORACLES, **layout.ORACLES, **vocabulary.ORACLES, **retrieval.ORACLES, **files.ORACLES}
