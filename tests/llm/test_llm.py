@@ -354,17 +354,39 @@ def test_substrings(spark, docs):
         w = words(t)
         gone = {k for s in range(len(w) - 34) if seen[b" ".join(w[s : s + 35])] > 1 for k in range(s, s + 35)}
         want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
-    gather = substring_dedup.GATHER
+    gather, most = substring_dedup.GATHER, substring_dedup.MOST
     try:
-        for size, parts in ((gather, 1), (500, 5)):
-            substring_dedup.GATHER = size
+        for size, group, parts in ((gather, most, 1), (500, 40, 5), (gather, 0, 3)):
+            substring_dedup.GATHER, substring_dedup.MOST = size, group
             got = substring_dedup.remove_repeats(d.repartition(parts, "doc_id")).collect()
             assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
     finally:
-        substring_dedup.GATHER = gather
+        substring_dedup.GATHER, substring_dedup.MOST = gather, most
     assert substring_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_repeats_brute():
+    """Ranks by doubling against a count of tuples, for windows that are powers of two and others."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2, 300)
+    for window in (1, 2, 5, 8, 11):
+        starts = np.arange(0, 300 - window + 1)
+        seen = collections.Counter(tuple(codes[s : s + window]) for s in starts)
+        assert substring_dedup.repeats(codes, starts, window).tolist() == [seen[tuple(codes[s : s + window])] > 1 for s in starts]
+
+
+def test_hot_phrase(spark, monkeypatch):
+    """A 20-word phrase in every text with different words around it is no repeat of 35; longer prefixes split its group."""
+    phrase = " ".join(f"hot{i}" for i in range(20))
+    around = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    rows = [(i, f"{around(i, 30)} {phrase} {around(-i - 1, 30)}") for i in range(60)] + [(100, f"{around(7, 30)} {phrase} other end")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (substring_dedup.MOST, 10):
+        monkeypatch.setattr(substring_dedup, "MOST", most)
+        got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(d).collect()}
+        assert got == {i: 50 if i in (7, 100) else 0 for i, _ in rows}
+
+
 # 7
 def test_packing(spark, docs, odd):
     import public_tokenizers
