@@ -67,7 +67,7 @@ def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str
     # One row for each source and at most 4,096 hash buckets; prefix sums over buckets, then inside the one at the border.
     buckets = small.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = staged(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs), "targets")
-    sources = sources.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = (
         buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
