@@ -2,7 +2,9 @@
 
 Each language has probabilities of the pieces of a fixed public vocabulary, fitted by EM
 on a sample of its labelled rows. A text's likelihood under a language sums, for every
-word, all segmentations; the score is the posterior of the best language.
+word, all segmentations; the score is the posterior of the best language. A text's fit is
+how much better than equally likely pieces that language explains it: text of no learned
+language has none, however sure the choice between the languages is.
 """
 
 from __future__ import annotations
@@ -42,12 +44,14 @@ def language_model(rows: DataFrame, per_language: int, vocabulary: str, rounds:
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, vocabulary: str | None = None, rounds: int = 2, hold_out: bool = True, carry: bool = False) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row of ``docs``; with ``carry`` the row of ``docs`` too, as a struct ``carried``.
+    """``doc_id, held_out, lang_pred, score, fit`` for each row of ``docs``; with ``carry`` the row of ``docs`` too, as a struct ``carried``.
 
     Learns from text and non-null language of rows whose crc32(id as text) mod 4 is not 2
     (all rows if not ``hold_out``), from about ``per_language`` rows of each language.
     ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if no row
-    has a language. Every word of a text counts; equal likelihoods go to the first language
+    has a language. ``fit`` is the log ratio, for each word on average, of the text's
+    likelihood under ``lang_pred`` and under equal probabilities of all pieces (0 where
+    ``lang_pred`` is ``und``). Every word of a text counts; equal likelihoods go to the first language
     by name. A null id counts as the empty text in the split. Repeated rows come out
     repeated; an empty table gives an empty result.
     """
@@ -56,16 +60,17 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col).cast("string")
     train = docs.where(~held & F.col(lang_col).isNotNull() & text.isNotNull()).select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
     names, shares, logp = language_model(train, per_language, path, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(logp)
+    # The last row is no language: all pieces alike.
+    shared = docs.sparkSession.sparkContext.broadcast(np.vstack((logp, np.full((1, logp.shape[1]), -np.log(logp.shape[1])))))
     labels = np.array([*names, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid, cache = lattice(path), Lookup(max(1, len(names)))
+        grid, cache = lattice(path), Lookup(len(names) + 1)
         for part in blocks.slices(batches):
-            best, score = np.full(part.num_rows, len(names)), np.zeros(part.num_rows)
+            best, score, fit = np.full(part.num_rows, len(names)), np.zeros(part.num_rows), np.zeros(part.num_rows)
             if names:
                 buf, starts, ends, first, hashes = lowered_words(part.column("text"))
-                total = np.tile(shares, (part.num_rows, 1))
+                total = np.zeros((part.num_rows, len(names) + 1))
                 if len(hashes):
                     keys, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                     new = cache.missing(keys)
@@ -73,18 +78,19 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         cache.add(keys[new], grid.score(cut(buf, starts[place[new]], ends[place[new]]), shared.value))
                     each = cache.get(keys)[inverse]
                     some = np.flatnonzero(np.diff(first))
-                    total[some] += np.add.reduceat(each, first[:-1][some], axis=0)
+                    total[some] = np.add.reduceat(each, first[:-1][some], axis=0)
                     cache.trim()
-                best = total.argmax(1)
-                top = total[np.arange(len(total)), best]
-                score = 1 / np.exp(total - top[:, None]).sum(1)
+                weighed, each_row = total[:, :-1] + shares, np.arange(len(total))
+                best = weighed.argmax(1)
+                score = 1 / np.exp(weighed - weighed[each_row, best][:, None]).sum(1)
+                fit = (total[each_row, best] - total[:, -1]) / np.maximum(1, np.diff(first))
             silent = ~part.column("letter").to_numpy(zero_copy_only=False)
-            best[silent], score[silent] = len(names), 0
+            best[silent], score[silent], fit[silent] = len(names), 0, 0
             kept = [part.column(i) for i in range(part.num_columns - 2)]
-            yield pa.record_batch([*kept, pa.array(labels[best], pa.string()), pa.array(score.astype(float))], [*part.schema.names[:-2], "lang_pred", "score"])
+            yield pa.record_batch([*kept, pa.array(labels[best], pa.string()), pa.array(score), pa.array(fit)], [*part.schema.names[:-2], "lang_pred", "score", "fit"])
 
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")
     carried = [F.struct(*docs.columns).alias("carried")] if carry else []
     source = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), *carried, text.alias("text"), letter)
-    out = source.mapInArrow(run, source.drop("text", "letter").schema.add("lang_pred", "string").add("score", "double"))
-    return out.select("doc_id", "held_out", "lang_pred", "score", *(["carried"] if carry else []))
+    out = source.mapInArrow(run, source.drop("text", "letter").schema.add("lang_pred", "string").add("score", "double").add("fit", "double"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "fit", *(["carried"] if carry else []))

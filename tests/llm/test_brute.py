@@ -110,14 +110,25 @@ def test_langid_score(docs, plain):
     names = sorted({lang for _, lang in train})
     models = [plain.em(collections.Counter(x for w, lang in train if lang == name for x in w)) for name in names]
     share = [math.log(sum(lang == name for _, lang in train) / len(train)) for name in names]
+    alike = [1 / len(plain.index)] * len(plain.index)
     got = {r.doc_id: r for r in langid.language_scores(docs).collect()}
     for i, w, _, text in rows:
         total = [s + sum(plain.log(x, p) for x in w) for s, p in zip(share, models)]
         best = max(range(len(names)), key=lambda k: total[k])
         if not any(c.isalpha() for c in text or ""):
-            assert got[i].lang_pred == "und" and got[i].score == 0
+            assert got[i].lang_pred == "und" and got[i].score == 0 and got[i].fit == 0
         else:
             assert got[i].lang_pred == names[best] and got[i].score == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total), abs=1e-6)
+            assert got[i].fit == pytest.approx(sum(plain.log(x, models[best]) - plain.log(x, alike) for x in w) / len(w), rel=1e-6, abs=1e-6)
+
+
+def test_strange_texts_have_no_fit(spark, docs):
+    """Random letters and a language without rows are explained little better than by equal pieces; every document with a letter is by far."""
+    rng = np.random.default_rng(4)
+    strange = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)), "Быстрая коричневая лиса прыгает через ленивую собаку и потом возвращается домой"]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], "doc_id bigint, text string, lang string"))
+    for r in langid.language_scores(rows, hold_out=False).where("lang_pred <> 'und'").collect():
+        assert r.fit < 1 if r.doc_id < 0 else r.fit > 2
 
 
 def test_toxicity_score(spark):
