@@ -248,31 +248,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return each.join(named, each.fp == named.of).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a wide fingerprint.
-WIDE = 256
-
-
-def wide_fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
-    """Fingerprints of ``WIDE`` bits, [document, word of 64 bits]: the first word as in ``fingerprints``, the others from remixed shingle hashes."""
-    buf = blocks.LOWER[buf]
-    starts, ends, first = blocks.words(buf, offsets)
-    n = np.diff(first)
-    many = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
-    out = np.zeros((len(n), WIDE // 64), np.uint64)
-    full = np.flatnonzero(many)
-    if len(full):
-        flat, starts, ends = blocks.squeeze(buf, starts, ends)
-        begin = blocks.ragged(first[:-1][full], many[full])
-        end = begin + np.repeat(np.minimum(n[full], width) - 1, many[full])
-        hashes = blocks.xxh64(flat, starts[begin], ends[end], seed)
-        at = np.cumsum(many[full]) - many[full]
-        for w in range(WIDE // 64):
-            h = hashes if not w else blocks.mix(hashes + np.uint64(w))
-            count = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), at, axis=0, dtype=np.int32)
-            out[full, w] = np.packbits(2 * count > many[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
-
-
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 values of the word shingles of a block's documents, one document after another, and how many each has."""
     buf = blocks.LOWER[buf]

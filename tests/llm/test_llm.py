@@ -180,11 +180,6 @@ def jaccard_components(rows, least):
     return root
 
 
-def test_wide_fingerprints_start_with_the_narrow_one(docs):
-    column = pa.array([t for _, t in texts(docs)][:50])
-    assert (simhash.wide_fingerprints(*blocks.layout(column), 5)[:, 0] == simhash.fingerprints(*blocks.layout(column), 5)).all()
-
-
 def test_drop_near_duplicates(spark, docs, odd):
     rng = np.random.default_rng(8)
     vocabulary = [f"word{i}" for i in range(3000)]
@@ -587,3 +582,12 @@ def test_pipeline(spark, docs):
             assert now.agg(F.sum("length")).first()[0] == now.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
         elif k + 1 < len(pipeline.STAGES):
             assert now.columns == docs.columns
+
+
+def test_pipeline_rejects_strange_texts(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    strange = ["qzv xkj wpq vvz jjx qkq zzx wvx kkj xqz " * 5, "Быстрая коричневая лиса прыгает через ленивую собаку", "これは 日本語 の 文章 です"]
+    plant = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "k bigint, t string").crossJoin(plant).select(*[F.col({"doc_id": "k", "text": "t"}.get(c, c)).alias(c) for c in docs.columns])
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
+    assert kept == {i for i, t in texts(docs) if any(c.isalpha() for c in t)}
