@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspark.llm import mixing, quality
+from cellspark.llm import bpe, mixing, quality
 from cellspark.llm.embedding_dedup import embedding_components
 from cellspark.llm.langid import language_scores
 from cellspark.llm.lm import lm_scores
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op13_rows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_pii": op10_pii,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE}
