@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellspark.llm import bpe, mixing, prefix_trie, quality
+from cellspark.llm import bpe, collocations, mixing, prefix_trie, quality
 from cellspark.llm.embedding_dedup import embedding_components
 from cellspark.llm.langid import language_scores
 from cellspark.llm.lm import lm_scores
@@ -64,6 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op12_rows(_table(spark, sf_dir, "conversations"))
 
@@ -83,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_embeddings": op9_embeddings,
     "op10_pii": op10_pii,
+    "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_bpe": op13_bpe,
 }
 
-ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}

@@ -35,6 +35,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder in buckets of ``column``, as a table of a fresh name, which is given too: a join on that column leaves its rows where they are."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{table}"
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return df.sparkSession.table(table), table
+
+
+def drop_bucketed(spark: SparkSession, table: str) -> None:
+    """Drop such a table and delete its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _delete(spark, f"{shared_folder(spark)}/{table}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
