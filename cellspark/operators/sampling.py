@@ -30,6 +30,61 @@ def numbered(rows: DataFrame, group: str, order: Column, name: str) -> DataFrame
     return joined.withColumn(name, F.col("_base") + F.col("_in")).drop("_h", "_range", "_group", "_of", "_base", "_in")
 
 
+#: Hex digits of the hash ranges that are counted, first over all rows, then inside the range of each cut.
+RANGES = (3, 6)
+
+
+def hash_cuts(rows: DataFrame, group: list[str], order: Column, key: str, quotas: DataFrame) -> DataFrame:
+    """``group…, _cut``: struct ``h, k`` of the row that is number ``_quota`` in its group's order of hash and key.
+
+    ``quotas`` has ``group…`` (one row where ``group`` is empty) and ``_quota``; a group of no more
+    rows than that has no cut, nor has a quota below 1. Rows are counted by ranges of their
+    hash, then by finer ranges inside the one that a cut falls into, and only what is left is
+    sorted: of 10 billion rows some 600. What travels is hashes and keys, never whole rows.
+    Groups may be null.
+    """
+    one = group or ["_all"]
+    slim = rows.select(*[F.col(g) for g in group], *([] if group else [F.lit(0).alias("_all")]), order.alias("h"), F.col(key).alias("k"))
+    # Groups under names of their own, so that nulls meet and no name clashes.
+    names = [f"_g{i}" for i in range(len(one))]
+    slim = slim.select(*[F.col(g).alias(n) for g, n in zip(one, names)], F.struct("h", "k").alias("_at"))
+    left = quotas.select(*[(F.col(g) if group else F.lit(0)).alias(n) for g, n in zip(one, names)], F.col("_quota").cast("bigint").alias("_left"), F.lit("").alias("_range"))
+
+    def inside(points: DataFrame, at: DataFrame, digits: int) -> DataFrame:
+        other = at.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("_left"), F.col("_range").alias("_of"))
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
+        return points.join(other, same & (F.substring("_at.h", 1, digits) == F.col("_of"))).drop(*[f"{n}_" for n in names], "_of")
+
+    digits = 0
+    for width in RANGES:
+        counts = inside(slim, left, digits).groupBy(*names, F.substring("_at.h", 1, width).alias("_range")).agg(F.count("*").alias("_n"), F.first("_left").alias("_left"))
+        upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_range"))
+        cut = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")) & (F.col("_left") > 0))
+        left, digits = cut.select(*names, (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"), "_range"), width
+    ranked = inside(slim, left, digits).withColumn("_no", F.row_number().over(Window.partitionBy(*names).orderBy("_at")))
+    return ranked.where(F.col("_no") == F.col("_left")).select(*[F.col(n).alias(g) for n, g in zip(names, one) if group], F.col("_at").alias("_cut"))
+
+
+def first_by_hash(rows: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of hash and key (all if there are fewer), as a filter: no task sorts or holds them. ``key`` names a row; rows of one key stay together."""
+    if n < 1:
+        return rows.where(F.lit(False))
+    return rows.where(_upto(rows, order, key, n))
+
+
+def _place(order: Column, key: str) -> Column:
+    return F.struct(order.alias("h"), F.col(key).alias("k"))
+
+
+def _upto(rows: DataFrame, order: Column, key: str, n: int) -> Column:
+    """Whether a row is among the first ``n`` in the order of hash and key; one cut comes to the driver."""
+    quota = rows.sparkSession.range(1).select(F.lit(n).alias("_quota"))
+    cut = hash_cuts(rows, [], order, key, quota).first()
+    return F.lit(True) if cut is None else _place(order, key) <= F.struct(F.lit(cut["_cut"]["h"]).alias("h"), F.lit(cut["_cut"]["k"]).alias("k"))
+
+
 def cap_per_class(rows: DataFrame, label: str, key: str, cap: int, seed: int = 42) -> DataFrame:
     """SMP3: at most ``cap`` rows of each class."""
     return _first_per(rows, [label], hash_order(seed, key), cap, cap).drop("_rank")
@@ -44,12 +99,19 @@ def sample_stratified(rows: DataFrame, label: str, key: str, n: int, seed: int =
     quota = max(1, n // classes)
     extra = max(0, n - quota * classes)
     number = F.row_number().over(Window.orderBy(label))
-    quotas = sizes.withColumn("_quota", F.least(F.col("_size"), F.lit(quota) + F.when(number <= extra, 1).otherwise(0))).select(F.col(label).alias("_class"), "_quota")
+    quotas = sizes.withColumn("_quota", F.least(F.col("_size"), F.lit(quota) + F.when(number <= extra, 1).otherwise(0)))
     order = hash_order(seed, key)
-    ranked = numbered(rows, label, order, "_rank").join(quotas, F.col(label) == F.col("_class"))
-    # The quotas' rows first, in class and hash order, then the others: the first n of that.
-    first = F.col("_rank") <= F.col("_quota")
-    return ranked.withColumn("_late", F.when(first, 0).otherwise(1)).orderBy("_late", F.when(first, F.col("_rank")), order).limit(n).drop("_class", "_quota", "_rank", "_late")
+    # Each class's first rows lie up to a cut of its own.
+    cuts = hash_cuts(rows, [label], order, key, quotas).select(F.col(label).alias("_class"), "_cut")
+    marked = rows.join(cuts, F.col(label).eqNullSafe(F.col("_class")), "left")
+    first = F.coalesce(_place(order, key) <= F.col("_cut"), F.lit(True))
+    taken = quotas.agg(F.sum("_quota")).first()[0]
+    early = marked.where(first).drop("_class", "_cut")
+    if taken >= n:  # more classes than rows asked for
+        return first_by_hash(early, order, key, n)
+    # The others up to a cut of theirs.
+    late = marked.where(~first).drop("_class", "_cut")
+    return marked.where(first | _upto(late, order, key, n - taken)).drop("_class", "_cut")
 
 
 def sample_fraction(rows: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
@@ -67,20 +129,21 @@ def stratified_folds(rows: DataFrame, label: str, key: str, folds: int, seed: in
 
 
 def subsample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
-    """SMP5: exactly ``most`` rows without replacement (all if fewer): top-k, no full sort."""
-    return rows.orderBy(hash_order(seed, key), key).limit(most)
+    """SMP5: exactly ``most`` rows without replacement (all if fewer); ``key`` names a row."""
+    return first_by_hash(rows, hash_order(seed, key), key, most)
 
 
 def subsample_tokens(tokens: DataFrame, target: int, seed: int = 42, cell: str = "cell_id", pos: str = "pos") -> DataFrame:
     """SMP6: ``max(1, target // cells)`` tokens of each cell, cells in hash order, cut at the target."""
-    cells = tokens.select(cell).distinct().count()
-    if not cells:
+    cells = tokens.select(cell).distinct()
+    n = cells.count()
+    if not n:
         return tokens
-    quota = max(1, target // cells)
-    kept = tokens.withColumn("_rank", F.row_number().over(Window.partitionBy(cell).orderBy(hash_order(seed, cell, pos), pos))).where(F.col("_rank") <= quota)
-    if quota * cells > target:
-        kept = kept.orderBy(hash_order(seed, cell), cell, "_rank").limit(target)
-    return kept.drop("_rank")
+    quota = max(1, target // n)
+    if quota * n > target:  # one token of each of the first cells
+        tokens = tokens.where(_upto(cells, hash_order(seed, cell), cell, target) if target > 0 else F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(cell).orderBy(hash_order(seed, cell, pos), pos))
+    return tokens.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_rank")
 
 
 def fit_sample(tokens: DataFrame, image: str, key: str, most: int, seed: int = 42) -> DataFrame:
