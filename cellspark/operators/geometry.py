@@ -76,11 +76,46 @@ def iou(a: str, b: str) -> Column:
     return F.when(union > 0, w * h / union).otherwise(0.0)
 
 
+#: Squares that a cell may touch along one side, at most, about.
+SPREAD = 64
+
+
+def square_side(cell_rows: DataFrame) -> tuple[float, dict[str, float]] | None:
+    """Side of the squares for ``overlaps`` and the extents of all cells: one row of sums comes to the driver. The mean side of a cell, larger only where some cell is ``SPREAD`` times as large; None without cells."""
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    row = cell_rows.agg(
+        F.avg(F.when(side > 0, side)).alias("mean"), F.max(side).alias("most"), F.min(F.least("x0", "x1")).alias("x_low"), F.max(F.greatest("x0", "x1")).alias("x_high"), F.min(F.least("y0", "y1")).alias("y_low"), F.max(F.greatest("y0", "y1")).alias("y_high")
+    ).first()
+    if row.x_low is None or row.y_low is None:
+        return None
+    return max(float(row.mean or 1.0), float(row.most) / SPREAD), {k: float(row[k]) for k in ("x_low", "x_high", "y_low", "y_high")}
+
+
 def overlaps(cell_rows: DataFrame, boxes: DataFrame, image: str = "image") -> DataFrame:
-    """GEO6: ``image, cell_row, cell_col, label, iou`` of boxes that meet cells: an equi-join on the image, the overlap in its condition."""
-    c, b = cell_rows.alias("c"), boxes.alias("b")
+    """GEO6: ``image, cell_row, cell_col, label, iou`` of boxes that meet cells.
+
+    A grid join: cells and boxes go to every square of a grid that they touch, and only those
+    of one square of an image are compared, so that the work grows with what meets and not
+    with cells times boxes of an image. A pair that shares several squares counts in the one that
+    holds the top left corner of its intersection. Boxes count within the extents of all cells.
+    """
+    found = square_side(cell_rows)
+    side, ends = found or (1.0, dict.fromkeys(("x_low", "x_high", "y_low", "y_high"), 0.0))
+    index = lambda v: F.floor(v / F.lit(side)).cast("bigint")
+
+    def touched(axis: str) -> Column:
+        a, b = F.col(f"{axis}0").cast("double"), F.col(f"{axis}1").cast("double")
+        low, high = F.greatest(F.least(a, b), F.lit(ends[f"{axis}_low"])), F.least(F.greatest(a, b), F.lit(ends[f"{axis}_high"]))
+        return F.when(low <= high, F.sequence(index(low), index(high))).otherwise(F.array().cast("array<bigint>"))
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        return rows.withColumn("_sx", F.explode(touched("x"))).withColumn("_sy", F.explode(touched("y"))).alias(name)
+
+    c, b = dealt(cell_rows.select(image, "cell_row", "cell_col", "x0", "y0", "x1", "y1"), "c"), dealt(boxes.select(image, "label", "x0", "y0", "x1", "y1"), "b")
+    same = (F.col(f"c.{image}") == F.col(f"b.{image}")) & (F.col("c._sx") == F.col("b._sx")) & (F.col("c._sy") == F.col("b._sy"))
     meet = (F.col("c.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("c.x1")) & (F.col("c.y0") < F.col("b.y1")) & (F.col("b.y0") < F.col("c.y1"))
-    return c.join(b, (F.col(f"c.{image}") == F.col(f"b.{image}")) & meet).select(f"c.{image}", "c.cell_row", "c.cell_col", "b.label", iou("c", "b").alias("iou"))
+    corner = lambda axis: index(F.greatest(F.col(f"c.{axis}0"), F.col(f"b.{axis}0")).cast("double")) == F.col(f"c._s{axis}")
+    return c.join(b, same & meet & corner("x") & corner("y")).select(f"c.{image}", "c.cell_row", "c.cell_col", "b.label", iou("c", "b").alias("iou"))
 
 
 def assign_labels(cell_rows: DataFrame, boxes: DataFrame, threshold: float = 0.05, classes: int = 63, image: str = "image") -> DataFrame:
