@@ -76,3 +76,22 @@ def diverse_words(hist: np.ndarray, weights: np.ndarray, n: int = 6, pool: int =
         best = int(np.lexsort((-np.array(left), relative, -similar, relative - penalty * similar))[-1])
         chosen.append(left.pop(best))
     return chosen + [int(w) for w in ranked if int(w) not in chosen][: n - len(chosen)]
+
+
+def best_pairs(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int, banned: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, item (row numbers) and inner product of the ``k`` best items of each query, best first, ties by the smaller id; ``banned`` [query, item] pairs don't count. ``step`` queries are scored at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    m = min(k, len(items))
+    for at in range(0, len(queries) if m else 0, step):
+        score = queries[at : at + step] @ items.T
+        if banned is not None:
+            score[banned[at : at + step]] = -np.inf
+        # All that reach the m-th best score, ties at the border included.
+        least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+        row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        order = np.lexsort((ids[column], -score[row, column], row))
+        row, column = row[order], column[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(score)))[row] < m
+        row, column = row[keep], column[keep]
+        found.append((row + at, column, score[row, column]))
+    return tuple(np.concatenate(x) for x in zip(*found))

@@ -33,9 +33,9 @@ def classification(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def majority_label(boxes: DataFrame, image: str = "image", label: str = "label", pos: str = "pos") -> DataFrame:
-    """MET2: the most common label of each image, the first seen on a tie."""
+    """MET2: the most common label of each image, the first seen on a tie, the larger label where that is one position."""
     counts = boxes.groupBy(image, label).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
-    return counts.groupBy(image).agg(F.max_by(label, F.struct("n", (-F.col("first")).alias("f"))).alias("label"))
+    return counts.groupBy(image).agg(F.max_by(label, F.struct("n", (-F.col("first")).alias("f"), label)).alias("label"))
 
 
 def fold_summary(rows: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellspark.functions.vectors import dot, l2_normalised
+from cellspark.functions.vectors import l2_normalised
+from cellspark.operators import kernels
+from cellspark.operators.clustering import first_starts, lloyd
+from cellspark.operators.sampling import subsample
+from cellspark.operators.vectors import matrix
+from cellspark.sources.scratch import fresh
 
 #: Values of one block of vectors, about; a task holds one of queries and one of items.
 BLOCK_VALUES = 8_000_000
@@ -49,40 +53,109 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, normalize: bool = False,
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": a["id"][:0], "item_id": b["id"][:0], "score": np.zeros(0)})
-        x, item, folds, out = np.array(b["v"].tolist()), b["id"].to_numpy(), b["fold"].to_numpy(), []
-        m = min(k, len(b))
-        for at in range(0, len(a), 1024):
-            part = a.iloc[at : at + 1024]
-            score = np.array(part["v"].tolist()) @ x.T
-            if exclude_fold:
-                score[part["fold"].to_numpy()[:, None] == folds[None]] = -np.inf
-            # All that reach the m-th best score; ties at the border go to the smaller item.
-            least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
-            row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-            order = np.lexsort((item[column], -score[row, column], row))
-            row, column = row[order], column[order]
-            first = np.searchsorted(row, np.arange(len(part)))
-            keep = np.arange(len(row)) - first[row] < m
-            row, column = row[keep], column[keep]
-            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[row], "item_id": item[column], "score": score[row, column]}))
-        return pd.concat(out)
+        folds = [x["fold"].to_numpy() for x in (a, b)]
+        row, column, score = kernels.best_pairs(np.array(a["v"].tolist()), np.array(b["v"].tolist()), b["id"].to_numpy(), k, folds[0][:, None] == folds[1][None] if exclude_fold else None)
+        return pd.DataFrame({"query_id": a["id"].to_numpy()[row], "item_id": b["id"].to_numpy()[column], "score": score})
 
     kinds = f"query_id {left.schema['id'].dataType.simpleString()}, item_id {right.schema['id'].dataType.simpleString()}, score double"
     found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(best, kinds)
     return _ranked(found, k).select("query_id", "rank", "item_id", "score")
 
 
-def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, lists: int, probes: int, seed: int = 42) -> DataFrame:
-    """RET2: ``query_id, rank, item_id, score``: items are kept in lists by nearest coarse centroid; a query looks into its best ``probes`` lists by inner product."""
-    feature = lambda d: d.withColumn("_f", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=lists, seed=seed, featuresCol="_f", predictionCol="list").fit(feature(items))
-    centres = items.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "list INT, centre ARRAY<DOUBLE>")
-    listed = model.transform(feature(items)).select("list", "item_id", F.col("embedding").alias("_i"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("_c"), "list")
-    probe = queries.select("query_id", F.col("embedding").alias("_q")).crossJoin(F.broadcast(centres)).withColumn("_c", dot(F.col("_q"), F.col("centre")))  # ``lists`` rows for each query
-    probe = probe.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= probes).select("query_id", "_q", "list")
-    scored = probe.join(listed, "list").select("query_id", "item_id", dot(F.col("_q"), F.col("_i")).alias("score"))
-    return _ranked(scored, k).select("query_id", "rank", "item_id", "score")
+def coarse_centroids(items: DataFrame, lists: int, seed: int = 42, sample: int = 256, iterations: int = 8) -> DataFrame:
+    """``list, centroid``: unit centroids of k-means over at most ``sample`` items for each list, taken by hash; it starts from the first of them."""
+    vectors = items.select("item_id", l2_normalised(F.col("embedding")).alias("token"))
+    some = subsample(vectors, "item_id", sample * lists, seed).persist()
+    try:
+        words, _ = lloyd(some, first_starts(some, "item_id", lists, seed=seed + 1), iterations)
+        return words.select(F.col("word").alias("list"), l2_normalised(F.col("centroid")).alias("centroid"))
+    finally:
+        some.unpersist()
+
+
+def _nearest_lists(rows: DataFrame, key: str, centroids: DataFrame, n: int, name: str = "list") -> DataFrame:
+    """``key``, ``v`` and ``name``, an array of the ``n`` lists whose centroids have the largest inner products with the vector, best first."""
+    names, matrix_ = matrix(centroids, "list")
+    shared = rows.sparkSession.sparkContext.broadcast((names.astype(np.int32), matrix_))
+    n = min(n, len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, c = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                best = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :n]
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n)
+                yield pa.record_batch([batch.column("id"), batch.column("v"), pa.ListArray.from_arrays(offsets, pa.array(lists[best].ravel()))], ["id", "v", name])
+
+    source = rows.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, v array<double>, {name} array<int>").withColumnRenamed("id", key)
+
+
+def write_ivf(items: DataFrame, path: str, lists: int, copies: int = 1, seed: int = 42, most: int = 100_000, centroids: DataFrame | None = None) -> None:
+    """RET2: the inverted file under ``path``: ``centroids`` (``list, centroid, parts``) and ``items``, a folder for each list.
+
+    An item is in its ``copies`` nearest lists by inner product: more than one where neighbours
+    are often in different lists. A list of more than ``most`` items is cut into ``parts`` by hash,
+    a task's work each. Centroids are those of ``coarse_centroids`` or given (``list, centroid``).
+    """
+    spark = items.sparkSession
+    centroids = coarse_centroids(items, lists, seed) if centroids is None else centroids
+    centroids.write.mode("overwrite").parquet(f"{path}/trained")
+    centroids = spark.read.parquet(f"{path}/trained")
+    dealt = _nearest_lists(items, "item_id", centroids, copies).select("item_id", F.col("v").cast(items.schema["embedding"].dataType).alias("embedding"), F.explode("list").alias("list"))
+    dealt.write.mode("overwrite").parquet(f"{path}/dealt")
+    dealt = spark.read.parquet(f"{path}/dealt")
+    sizes = dealt.groupBy("list").agg(F.count("*").alias("n"))
+    parts = centroids.join(sizes, "list", "left").select("list", "centroid", F.coalesce("n", F.lit(0)).alias("n"), F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / most)).cast("int").alias("parts"))
+    parts.write.mode("overwrite").parquet(f"{path}/centroids")
+    # As many rows as lists, sent to all tasks where Spark finds them small.
+    cut = dealt.join(spark.read.parquet(f"{path}/centroids").select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int")).drop("parts")
+    cut.repartition("list", "part").write.mode("overwrite").partitionBy("list").parquet(f"{path}/items")
+
+
+def probed_items(spark: SparkSession, path: str, lists: Sequence[int]) -> DataFrame:
+    """RET2: the stored items of some lists; the folders of the others are not listed or read."""
+    return spark.read.parquet(f"{path}/items").where(F.col("list").isin([int(x) for x in lists]))
+
+
+def search_ivf(queries: DataFrame, path: str, k: int, probes: int) -> DataFrame:
+    """RET2: ``query_id, rank, item_id, score``: each query's best items by inner product among those of its best ``probes`` lists.
+
+    Queries travel to the lists they probe, and only those lists are read; a part of a list and a
+    block of its queries meet in one task as one matrix product, which keeps the ``k`` best of
+    each query. The probed lists' numbers come to the driver, as many as there are centroids at most.
+    """
+    spark = queries.sparkSession
+    centroids = spark.read.parquet(f"{path}/centroids")
+    probed = _nearest_lists(queries, "query_id", centroids.select("list", "centroid"), probes, "lists").select("query_id", "v", F.explode("lists").alias("list"))
+    loads = probed.groupBy("list").agg(F.count("*").alias("asked"), F.max(F.size("v")).alias("width")).join(centroids.select("list", "parts"), "list").collect()
+    # Queries of a list in blocks, so that a task holds one block and one part.
+    blocks = spark.createDataFrame([(r.list, r.parts, max(1, -(-r.asked * (r.width or 1) // BLOCK_VALUES))) for r in loads], "list int, parts int, blocks int")
+    items = probed_items(spark, path, [r.list for r in loads])
+    task = F.struct("list", "part", "block")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = probed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part", every("parts")).select(task.alias("task"), "query_id", "v")
+    right = items.join(F.broadcast(blocks), "list").withColumn("block", every("blocks")).select(task.alias("task"), "item_id", F.col("embedding").cast("array<double>").alias("v"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        vectors = [t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in (a, b)]
+        if not (a.num_rows and b.num_rows):
+            vectors = [np.zeros((0, 1))] * 2
+        row, column, score = kernels.best_pairs(*vectors, b.column("item_id").to_numpy(), k)
+        return pa.table({"query_id": a.column("query_id").take(pa.array(row)), "item_id": b.column("item_id").take(pa.array(column)), "score": pa.array(score)})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(best, kinds)
+    # An item may be met in several lists.
+    return _ranked(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")), k).select("query_id", "rank", "item_id", "score")
+
+
+def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, lists: int, probes: int, seed: int = 42, copies: int = 1, path: str | None = None) -> DataFrame:
+    """RET2: ``write_ivf`` and ``search_ivf`` in one, the index in the shared folder unless ``path`` says where."""
+    path = path or fresh(items.sparkSession, "ivf")
+    write_ivf(items, path, lists, copies, seed)
+    return search_ivf(queries, path, k, probes)
 
 
 def retrieval_metrics(found: DataFrame, queries: DataFrame, items: DataFrame, ks: Sequence[int] = (1, 5, 10), by: Sequence[str] = ()) -> DataFrame:

@@ -159,9 +159,7 @@ def src7(spark, sf_dir):
 
 @_query("met2_majority", f"{with_('boxes')}, c AS (SELECT image, label, count(*) AS n, min(pos) AS f FROM boxes GROUP BY ALL) SELECT image, arg_max(label, (n, -f, label))::INT AS label FROM c GROUP BY image")
 def met2(spark, sf_dir):
-    b = V.boxes(spark, sf_dir)
-    counts = b.groupBy("image", "label").agg(F.count("*").alias("n"), F.min("pos").alias("f"))
-    return counts.groupBy("image").agg(F.max_by("label", F.struct("n", (-F.col("f")).alias("g"), "label")).alias("label"))
+    return M.majority_label(V.boxes(spark, sf_dir))
 
 
 @_query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions.vectors import dot, l1_distance, l2_normalised, mean_vector
 from cellspark.operators import analytics as A
+from cellspark.operators import clustering as C
 from cellspark.operators import vectors as X
 from cellspark.plans import views as V
 from cellspark.plans.views import with_
@@ -151,6 +152,99 @@ def vec16b(spark, sf_dir):
     return out.select("k", ((F.col("smallest") * F.col("k") <= n) & (F.col("largest") * F.col("k") >= n)).alias("sized"), (F.col("silhouette").between(-1, 1) & (F.col("error") > 0)).alias("scored"))
 
 
+def lloyd_sql(steps: int, points: str = "pts", start: str = "c0", width: int = 64) -> str:
+    """Tables ``c1``, ``c2``, ... of centroids after each step of k-means over ``points`` (``id, token``), and each point's word ``n0``, ``n1``, ..."""
+    distance = "list_dot_product(token, token) - 2 * list_dot_product(token, centroid) + list_dot_product(centroid, centroid)"
+    out = [f"{start} AS MATERIALIZED (SELECT vec_id::INT AS word, token AS centroid FROM tokens WHERE vec_id < {{k}})"] if start == "c0" else []
+    for i in range(steps + 1):
+        out.append(f"n{i} AS MATERIALIZED (SELECT id, arg_min(word, (round(d, 12), word)) AS word, min(d) AS d FROM (SELECT id, word, {distance} AS d FROM {points}, c{i}) GROUP BY id)")
+        if i < steps:
+            out.append(f"m{i} AS (SELECT word, list(v ORDER BY j) AS centroid FROM (SELECT word, j, avg(v) AS v FROM (SELECT word, unnest(range({width})) AS j, unnest(token) AS v FROM n{i} JOIN {points} USING (id)) GROUP BY word, j) GROUP BY word)")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT word, coalesce(m.centroid, c.centroid) AS centroid FROM c{i} c LEFT JOIN m{i} m USING (word))")
+    return ", ".join(out)
+
+
+_PTS = "pts AS (SELECT vec_id AS id, token FROM tokens)"
+
+
+def _starts(spark, sf_dir, k):
+    return V.vocabulary(spark, sf_dir, k)
+
+
+@_query("vec8_lloyd", f"{with_('tokens')}, {_PTS}, {lloyd_sql(4).replace('{k}', '10')} SELECT word, j::INT AS i, round(v, 6) + 0.0 AS v, round(e, 6) AS error FROM (SELECT word, unnest(range(64)) AS j, unnest(centroid) AS v FROM c4), (SELECT avg(d) AS e FROM n4)")
+def vec8c(spark, sf_dir):
+    """Four steps of k-means from the first ten vectors."""
+    words, error = C.lloyd(V.tokens(spark, sf_dir), _starts(spark, sf_dir, 10), 4)
+    return _flat(words, "centroid", ("word",)).withColumn("error", F.lit(round(error, 6)))
+
+
+_BATCH = "('0x' || substr(md5('42:' || id::VARCHAR), 1, 8))::BIGINT % 3"
+
+
+def _mini_batch_sql() -> str:
+    """Three batches, one after another, each moving the centroids before the next."""
+    distance = "list_dot_product(token, token) - 2 * list_dot_product(token, centroid) + list_dot_product(centroid, centroid)"
+    out = ["c0 AS MATERIALIZED (SELECT vec_id::INT AS word, token AS centroid, 0 AS weight FROM tokens WHERE vec_id < 6)"]
+    for b in range(3):
+        out.append(f"n{b} AS MATERIALIZED (SELECT id, arg_min(word, (round(d, 12), word)) AS word FROM (SELECT id, word, {distance} AS d FROM pts, c{b} WHERE {_BATCH} = {b}) GROUP BY id)")
+        out.append(f"m{b} AS (SELECT word, list(v ORDER BY j) AS total, max(n) AS n FROM (SELECT word, j, sum(v) AS v, count(*) AS n FROM (SELECT word, unnest(range(64)) AS j, unnest(token) AS v FROM n{b} JOIN pts USING (id)) GROUP BY word, j) GROUP BY word)")
+        out.append(f"c{b + 1} AS MATERIALIZED (SELECT word, CASE WHEN n IS NULL THEN centroid ELSE list_transform(centroid, lambda x, i: (x * weight + total[i]) / (weight + n)) END AS centroid, weight + coalesce(n, 0) AS weight FROM c{b} LEFT JOIN m{b} USING (word))")
+    return ", ".join(out)
+
+
+@_query("vec9_minibatch", f"{with_('tokens')}, {_PTS}, {_mini_batch_sql()} SELECT word, j::INT AS i, round(v, 6) + 0.0 AS v, weight::DOUBLE AS weight FROM (SELECT word, weight, unnest(range(64)) AS j, unnest(centroid) AS v FROM c3)")
+def vec9c(spark, sf_dir):
+    """An epoch of mini-batch k-means in three batches."""
+    words = C.mini_batch_kmeans(V.tokens(spark, sf_dir), _starts(spark, sf_dir, 6), "vec_id", 3)
+    return _flat(words, "centroid", ("word", "weight")).select("word", "i", "v", "weight")
+
+
+def _mixture_sql(steps: int = 2) -> str:
+    whole = "SELECT j, avg(t[j]) AS m, avg(t[j] * t[j]) AS q FROM x, (SELECT unnest(range(1, 5)) AS j) GROUP BY j"
+    out = ["x AS MATERIALIZED (SELECT vec_id AS id, token[1:4] AS t FROM tokens)", f"g0 AS MATERIALIZED (SELECT id::INT AS word, t AS mean, (SELECT list(q - m * m + 1e-6 ORDER BY j) FROM ({whole})) AS variance, 1 / 3 AS weight FROM x WHERE id < 3)"]
+    for i in range(steps):
+        out.append(f"l{i} AS MATERIALIZED (SELECT id, word, t, ln(weight) - 0.5 * list_sum(list_transform(range(1, 5), lambda j: ln(2 * pi() * variance[j]) + (t[j] - mean[j]) ** 2 / variance[j])) AS l FROM x, g{i})")
+        out.append(f"r{i} AS MATERIALIZED (SELECT id, word, t, exp(l - max(l) OVER w) / sum(exp(l)) OVER w * exp(max(l) OVER w) AS r FROM l{i} WINDOW w AS (PARTITION BY id))")
+        sums = f"SELECT word, j, sum(r) AS n, sum(r * t[j]) / sum(r) AS m, sum(r * t[j] * t[j]) / sum(r) AS q FROM r{i}, (SELECT unnest(range(1, 5)) AS j) GROUP BY word, j"
+        out.append(f"g{i + 1} AS MATERIALIZED (SELECT word, list(m ORDER BY j) AS mean, list(greatest(q - m * m, 0) + 1e-6 ORDER BY j) AS variance, max(n) / (SELECT count(*) FROM x) AS weight FROM ({sums}) GROUP BY word)")
+    return ", ".join(out)
+
+
+@_query("vec9_gmm", f"{with_('tokens')}, {_mixture_sql()} SELECT word, unnest(range(4))::INT AS i, round(unnest(mean), 6) + 0.0 AS mean, round(unnest(variance), 6) AS variance, round(weight, 6) AS weight FROM g2")
+def vec9d(spark, sf_dir):
+    """Two steps of EM for three diagonal Gaussians over the first four numbers."""
+    short = V.tokens(spark, sf_dir).select("vec_id", F.slice("token", 1, 4).alias("token"))
+    starts = _starts(spark, sf_dir, 3).withColumn("centroid", F.slice("centroid", 1, 4))
+    model, _ = C.gaussian_mixture(short, starts, 2)
+    flat = model.select("word", F.posexplode(F.arrays_zip("centroid", "variance")).alias("i", "z"), "weight")
+    return flat.select("word", "i", (F.round("z.centroid", 6) + 0.0).alias("mean"), F.round("z.variance", 6).alias("variance"), F.round("weight", 6).alias("weight"))
+
+
+def _silhouette_sql(labels: str) -> str:
+    """Mean silhouette by squared distances over all pairs of ``labels`` (``id, label, v``)."""
+    return f"""y AS MATERIALIZED ({labels}), pairs AS (SELECT a.id, a.label, b.label AS other, sum(list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v)) AS s, count(*) AS n FROM y a, y b GROUP BY ALL),
+    own AS (SELECT id, n, s / greatest(n - 1, 1) AS a FROM pairs WHERE label = other), near AS (SELECT id, min(s / n) AS b FROM pairs WHERE label <> other GROUP BY id),
+    sil AS (SELECT count(*) AS points, avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM own JOIN near USING (id))"""
+
+
+@_query("vec15_silhouette_all", f"{with_('tokens')}, {_silhouette_sql('SELECT vec_id AS id, label, token AS v FROM tokens')} SELECT points AS n, round(silhouette, 6) AS silhouette FROM sil")
+def vec15b(spark, sf_dir):
+    return _round(C.silhouette_all(V.tokens(spark, sf_dir).select("label", F.col("token").alias("v"))), "silhouette")
+
+
+def _sweep_sql(k: int) -> str:
+    sizes = f"SELECT c.word, count(n.id) AS size FROM c3 c LEFT JOIN n3 n USING (word) GROUP BY c.word"
+    return f"""({with_('tokens')}, {_PTS}, {lloyd_sql(3).replace('{k}', str(k))}, {_silhouette_sql('SELECT id, word AS label, token AS v FROM n3 JOIN pts USING (id)')}
+    SELECT {k} AS k, (SELECT round(avg(d), 6) FROM n3) AS error, min(size) AS smallest, max(size) AS largest, (SELECT round(silhouette, 6) FROM sil) AS silhouette FROM ({sizes}))"""
+
+
+@_query("vec16_sweep_from_starts", f"{_sweep_sql(4)} UNION ALL {_sweep_sql(8)}")
+def vec16c(spark, sf_dir):
+    """Three steps from the first vectors for each k."""
+    points = V.tokens(spark, sf_dir).select(F.col("vec_id").alias("id"), "token")
+    return _round(C.k_sweep_from(points, _starts(spark, sf_dir, 8), [4, 8], 3), "error", "silhouette")
+
+
 @_query("vec7_pca")
 def vec7(spark, sf_dir):
     return X.pca(V.tokens(spark, sf_dir).select("vec_id", "token"), 8)
