@@ -82,7 +82,7 @@ class Codec(Tokens):
         self.model = SentencePieceProcessor(model_proto=serialised(ranks))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         #: Tokens that merges don't reach: as a whole pre-token they still are one.
-        self.whole = {x: [rank] for x, rank, got in zip(map(letters, ranks), ranks.values(), self.model.encode([*map(letters, ranks)])) if got != [rank]}
+        self.whole = {x: [rank] for x, rank, got in zip(map(letters, ranks), ranks.values(), map(self.model.encode, map(letters, ranks))) if got != [rank]}
         table = [self.model.id_to_piece(i).encode("utf-16-le") for i in range(len(ranks))]
         self.piece_size = np.array([len(x) // 2 for x in table], np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
@@ -91,8 +91,8 @@ class Codec(Tokens):
         self._clear()
 
     def encode(self, text: str) -> list[int]:
-        tokens = [letters(x.encode()) for x in self.pattern.findall(text)]
-        return [i for x, ids in zip(tokens, self.model.encode(tokens)) for i in self.whole.get(x, ids)]
+        # One by one: for a list the library would start threads.
+        return [i for x in map(letters, map(str.encode, self.pattern.findall(text))) for i in self.whole.get(x) or self.model.encode(x)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all documents end to end, and their offsets."""
