@@ -12,7 +12,7 @@ from cellspark.schemas import CATEGORIES, FINE_LABELS, MERGED_LABELS, category_t
 from cellspark.sources import files as S
 from cellspark.sources import sinks as K
 from cellspark.sources.scratch import fresh
-from cellspark.streaming.histograms import stream_histograms
+from cellspark.streaming.histograms import stream_histograms, stream_token_histograms
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -147,6 +147,17 @@ def str1(spark, sf_dir):
     return Q._flat(spark.read.parquet(out), "histogram", ("cell_id",), "word", "h")
 
 
+@_query("str1_token_stream", f"{Q._H}, n AS (SELECT cell_id, count(*)::INT AS tokens FROM tokens GROUP BY cell_id) SELECT cell_id, tokens, word, round(h, 6) AS h FROM hist JOIN n USING (cell_id) WHERE tokens = 16")
+def str1b(spark, sf_dir):
+    """Token-major files in two runs: even positions and some others first, then the odd ones and some again; cells of 16 tokens are complete after both."""
+    tokens, words = V.tokens(spark, sf_dir).select("cell_id", "pos", "token"), V.vocabulary(spark, sf_dir)
+    source, out, checkpoint = (fresh(spark, x) for x in ("arriving", "streamed", "progress"))
+    for some in (tokens.where("pos % 2 = 0 or cell_id % 5 = 0"), tokens.where("pos % 2 = 1 or cell_id % 3 = 0")):
+        some.write.mode("append").parquet(source)
+        stream_token_histograms(spark, source, words, out, checkpoint, 16).awaitTermination()
+    return Q._flat(spark.read.parquet(out), "histogram", ("cell_id", "tokens"), "word", "h")
+
+
 def _pictures(spark, sf_dir, times: int):
     """A small image for each customer, its bytes a pattern of the key, blue first."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
