@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspark.operators.geometry import iou
+from cellspark.operators.sampling import positions
 
 
 def classification(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -64,48 +65,63 @@ def pixel_change(pixels: DataFrame, batch: Sequence[str] = ("batch_id",), thresh
     return macro.unionByName(micro).select("how", "precision", "recall", "f1", "iou")
 
 
-def matched(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[float], image: str = "image_id", label: int = 1) -> DataFrame:
-    """MET6: every prediction at every threshold with ``tp``: its best truth reaches the threshold and no better-scored prediction has taken that truth; a second-best truth is not tried."""
-    bad = [t for t in thresholds if not 0 < t < 1]
-    if bad:
-        raise ValueError(f"IoU thresholds must lie in (0, 1): {bad}")
+def match_intervals(predictions: DataFrame, truths: DataFrame, image: str = "image_id", label: int = 1) -> DataFrame:
+    """MET7: ``image, pred_id, score, low, high``: a prediction is a true positive at just the thresholds above ``low`` up to ``high``.
+
+    ``high`` is the overlap with its best truth, 0 without one; ``low`` the best overlap of the
+    predictions before it that have the same best truth: up to there one of them takes it. So
+    one match does for all thresholds. A second-best truth is not tried.
+    """
     p, t = predictions.where(F.col("label") == label).alias("p"), truths.where(F.col("label") == label).alias("t")
-    box = lambda a: [f"{a}.x0", f"{a}.y0", f"{a}.x1", f"{a}.y1"]
     meet = (F.col("p.x0") < F.col("t.x1")) & (F.col("t.x0") < F.col("p.x1")) & (F.col("p.y0") < F.col("t.y1")) & (F.col("t.y0") < F.col("p.y1"))
     # Boxes that don't meet have no overlap and reach no threshold.
     pairs = p.join(t, (F.col(f"p.{image}") == F.col(f"t.{image}")) & meet).select(f"p.{image}", "p.pred_id", "t.gt_id", iou("p", "t").alias("iou"))
-    best = pairs.groupBy(image, "pred_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("b")).select(image, "pred_id", F.col("b.iou").alias("iou"), (-F.col("b.g")).alias("gt_id"))
-    each = p.select(image, "pred_id", "score").join(best, [image, "pred_id"], "left").withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    reach = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
-    w = Window.partitionBy("threshold", image, F.when(reach, F.col("gt_id"))).orderBy(F.desc("score"), "pred_id")
-    return each.withColumn("tp", (reach & (F.row_number().over(w) == 1)).cast("int"))
+    best = pairs.groupBy(image, "pred_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("b")).select(image, "pred_id", F.col("b.iou").alias("high"), F.col("b.g").alias("_truth"))
+    each = p.select(image, "pred_id", "score").join(best, [image, "pred_id"], "left")
+    before = Window.partitionBy(image, "_truth").orderBy(F.desc("score"), "pred_id").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.when(F.col("_truth").isNotNull(), F.max("high").over(before))
+    return each.withColumn("low", F.coalesce(low, F.lit(0.0))).select(image, "pred_id", "score", "low", F.coalesce("high", F.lit(0.0)).alias("high"))
+
+
+def _checked(thresholds: Sequence[float]) -> Column:
+    bad = [t for t in thresholds if not 0 < t < 1]
+    if bad:
+        raise ValueError(f"IoU thresholds must lie in (0, 1): {bad}")
+    return F.array(*map(F.lit, thresholds))
+
+
+def matched(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[float], image: str = "image_id", label: int = 1) -> DataFrame:
+    """MET6: every prediction at every threshold with ``tp``: its best truth reaches the threshold and no better-scored prediction has taken that truth."""
+    each = match_intervals(predictions, truths, image, label).withColumn("threshold", F.explode(_checked(thresholds)))
+    return each.withColumn("tp", ((F.col("threshold") > F.col("low")) & (F.col("threshold") <= F.col("high"))).cast("int")).drop("low", "high")
 
 
 def average_precision(predictions: DataFrame, truths: DataFrame, thresholds: Sequence[float] = (0.5,), image: str = "image_id", label: int = 1, ranges: int = 4096) -> DataFrame:
     """MET6, MET7: ``threshold, predictions, truths, ap``: area under the precision envelope over recall, from (0, 0) to recall 1.
 
-    Predictions are dealt to ``ranges`` of the score, whose counts are summed first, so that
-    running sums go side by side; among equal scores the smaller prediction id comes first.
+    Predictions are numbered once, for all thresholds, by score and among equal scores by id;
+    a threshold's curve is then made of its true positives alone, since precision only falls
+    between them. Their running sums go side by side over ``ranges`` of the numbers.
     """
-    n = F.broadcast(truths.where(F.col("label") == label).agg(F.count("*").alias("truths")))  # one row
-    scores = F.broadcast(predictions.where(F.col("label") == label).agg(F.max("score").alias("_hi"), F.min("score").alias("_lo")))  # one row
-    rows = matched(predictions, truths, thresholds, image, label).crossJoin(n).crossJoin(scores)
-    rows = rows.withColumn("_range", F.coalesce(F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(0)))
-    counts = rows.groupBy("threshold", "_range").agg(F.sum("tp").alias("_tp"), F.count("*").alias("_n"))
+    grid = _checked(thresholds)
+    at = positions(match_intervals(predictions, truths, image, label), [F.desc("score"), F.asc("pred_id")], "seen")
+    count = lambda d, name: d.where(F.col("label") == label).agg(F.count("*").alias(name))
+    n = count(truths, "truths").crossJoin(count(predictions, "predictions"))  # one row each
+    hits = at.select("seen", F.explode(F.filter(grid, lambda t: (t > F.col("low")) & (t <= F.col("high")))).alias("threshold"))
+    rows = hits.crossJoin(F.broadcast(n)).withColumn("_range", F.floor((F.col("seen") - 1) * ranges / F.col("predictions")))
+    counts = rows.groupBy("threshold", "_range").agg(F.count("*").alias("_tp"))
     before = Window.partitionBy("threshold").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("threshold", "_range", F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
-    order = Window.partitionBy("threshold", "_range").orderBy(F.desc("score"), "pred_id")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = rows.join(base, ["threshold", "_range"]).withColumn("tps", F.col("_tp0") + F.sum("tp").over(run)).withColumn("seen", F.col("_n0") + F.count("*").over(run))
-    curve = curve.withColumn("precision", F.col("tps") / (F.col("seen") + 1e-6)).withColumn("step", F.col("tp") / (F.col("truths") + 1e-6))
+    base = counts.select("threshold", "_range", F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_tp0"))
+    order = Window.partitionBy("threshold", "_range")
+    curve = rows.join(base, ["threshold", "_range"]).withColumn("precision", (F.col("_tp0") + F.row_number().over(order.orderBy("seen"))) / (F.col("seen") + 1e-6))
     # The best precision from here on: inside the range, a running maximum in the opposite order; behind it, that of the later ranges.
-    back = Window.partitionBy("threshold", "_range").orderBy(F.asc("score"), F.desc("pred_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    back = order.orderBy(F.desc("seen")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy("threshold").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    best = curve.groupBy("threshold", "_range").agg(F.max("precision").alias("_best")).select("threshold", "_range", F.coalesce(F.max("_best").over(later), F.lit(0.0)).alias("_later"))
-    areas = curve.withColumn("_here", F.max("precision").over(back)).join(best, ["threshold", "_range"])
-    found = areas.groupBy("threshold").agg(F.count("*").alias("predictions"), F.sum(F.col("step") * F.greatest("_here", "_later")).alias("ap"))
-    grid = n.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    return grid.join(found, "threshold", "left").select("threshold", F.coalesce("predictions", F.lit(0)).alias("predictions"), "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).otherwise(0.0).alias("ap"))
+    here = curve.withColumn("_here", F.max("precision").over(back))
+    best = here.groupBy("threshold", "_range").agg(F.max("precision").alias("_best")).select("threshold", "_range", F.coalesce(F.max("_best").over(later), F.lit(0.0)).alias("_later"))
+    found = here.join(best, ["threshold", "_range"]).groupBy("threshold").agg(F.sum(F.greatest("_here", "_later") / (F.col("truths") + 1e-6)).alias("ap"))
+    every = n.withColumn("threshold", F.explode(grid))
+    return every.join(found, "threshold", "left").select("threshold", "predictions", "truths", F.when(F.col("truths") > 0, F.coalesce("ap", F.lit(0.0))).otherwise(0.0).alias("ap"))
 
 
 #: The names of the two metrics in a retrieval log, before "@", k and a colon.

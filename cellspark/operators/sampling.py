@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellspark.sources.scratch import fresh
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -85,6 +87,23 @@ def _upto(rows: DataFrame, order: Column, key: str, n: int) -> Column:
     return F.lit(True) if cut is None else _place(order, key) <= F.struct(F.lit(cut["_cut"]["h"]).alias("h"), F.lit(cut["_cut"]["k"]).alias("k"))
 
 
+def positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the position, from 1, of each row in ``order`` over all rows.
+
+    Rows are sorted over all tasks by ranges, so that no task holds more than its share, however
+    many rows are equal in the first columns, and staged in the shared folder with their place in
+    their task; a task's first position is the sum of the counts before it, one row for each task.
+    """
+    spark, path = rows.sparkSession, fresh(rows.sparkSession, "ordered")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number that Spark gives: the task's in the upper bits, the row's in the lower 33.
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    base = kept.groupBy("_task").agg(F.count("*").alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return kept.join(base, "_task").withColumn(name, F.col("_base") + F.col("_at") - F.shiftleft("_task", 33) + 1).drop("_task", "_at", "_base")
+
+
 def cap_per_class(rows: DataFrame, label: str, key: str, cap: int, seed: int = 42) -> DataFrame:
     """SMP3: at most ``cap`` rows of each class."""
     return _first_per(rows, [label], hash_order(seed, key), cap, cap).drop("_rank")
@@ -160,6 +179,8 @@ def group_order(cells: DataFrame, image: str, cell: str, ranks: int, per_group:
     base = h.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_bucket", "_base")
     numbered = h.join(F.broadcast(base), "_bucket").withColumn("_image_no", F.col("_base") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", image)) - 1)
     inside = cells.withColumn("_in", F.row_number().over(Window.partitionBy(image).orderBy(hash_order(s, image, cell), cell))).where(F.col("_in") <= per_group)
-    dealt = inside.join(numbered.select(image, "_image_no"), image).withColumn("rank", F.col("_image_no") % ranks)
-    w = Window.partitionBy("rank").orderBy("_image_no", "_in")
-    return dealt.select("rank", (F.row_number().over(w) - 1).alias("position"), F.col(cell).alias("cell_id"))
+    dealt = inside.join(numbered.select(image, "_image_no"), image).select((F.col("_image_no") % ranks).alias("rank"), "_image_no", "_in", F.col(cell).alias("cell_id"))
+    # Positions over all ranks, less those of the ranks before.
+    placed = positions(dealt, [F.col("rank"), F.col("_image_no"), F.col("_in")], "_place")
+    first = placed.groupBy("rank").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "rank").select("rank", (F.col("_place") - F.col("_first")).alias("position"), "cell_id")

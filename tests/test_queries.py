@@ -42,9 +42,6 @@ def test_learned(spark):
     assert ap.ap.between(0, 1).all() and ap.ap.is_monotonic_decreasing
     words = QUERIES["anl13_diverse_words"](spark, SF).toPandas().words.str.split(",")
     assert words.map(lambda w: len(set(w)) == 6).all()
-    ivf = QUERIES["ret2_ivf"](spark, SF).toPandas()
-    exact = QUERIES["ret1_top_k"](spark, SF).toPandas()
-    assert len(ivf.merge(exact, on=["query_id", "item_id"])) > 0.3 * len(exact)
 
 
 def test_ivf_recall(spark):
