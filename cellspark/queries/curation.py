@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from cellspark.functions import paths as P
 from cellspark.operators import joins as J
 from cellspark.operators import sampling as S
 from cellspark.plans.views import images, paths, table, with_
+from cellspark.sources.scratch import fresh
+from cellspark.sources.sinks import write_joinable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -146,11 +150,11 @@ def jon3(spark, sf_dir):
     return J.append_resumed(old, paths(spark, sf_dir).select("pos", F.lit("new").alias("run")), ["pos"])
 
 
-@_query(
-    "jon4_training_table",
-    f"""{with_('paths')} SELECT p.pos AS cell_id, p.raw, c.n AS n_words, coalesce(l.quality, -1)::INT AS label, ({_BUCKET.format('p.raw')}) < 2000 AS is_val
-FROM paths p JOIN (SELECT doc_id, n_chars AS n FROM documents WHERE doc_id % 5 <> 0) c ON c.doc_id = p.pos LEFT JOIN labels l ON l.doc_id = p.pos""",
-)
+_TRAINING = f"""{with_('paths')} SELECT p.pos AS cell_id, p.raw, c.n AS n_words, coalesce(l.quality, -1)::INT AS label, ({_BUCKET.format('p.raw')}) < 2000 AS is_val
+FROM paths p JOIN (SELECT doc_id, n_chars AS n FROM documents WHERE doc_id % 5 <> 0) c ON c.doc_id = p.pos LEFT JOIN labels l ON l.doc_id = p.pos"""
+
+
+@_query("jon4_training_table", _TRAINING)
 def jon4(spark, sf_dir):
     manifest = paths(spark, sf_dir).select(F.col("pos").alias("cell_id"), "raw")
     stored = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("cell_id"), F.col("n_chars").alias("n_words"))
@@ -158,6 +162,17 @@ def jon4(spark, sf_dir):
     return J.training_table(manifest, stored, labels, "raw", 0.2)
 
 
+@_query("jon4_from_stores", _TRAINING)
+def jon4b(spark, sf_dir):
+    """The same from three stored tables in buckets of the cell, joined where they are."""
+    manifest = paths(spark, sf_dir).select(F.col("pos").alias("cell_id"), "raw")
+    counts = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("cell_id"), F.col("n_chars").alias("n_words"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("cell_id"), F.col("quality").alias("label"))
+    name = uuid.uuid4().hex
+    stored = [write_joinable(rows, f"{kind}_{name}", fresh(spark, kind), buckets=8) for kind, rows in (("manifest", manifest), ("counts", counts), ("labels", labels))]
+    return J.training_table(*stored, "raw", 0.2)
+
+
 @_query(
     "jon5_label_fallback",
     f"""{with_('paths', 'names')}, {_CAT} SELECT pos AS cell_id, coalesce(CASE WHEN l.quality > 0 THEN l.quality ELSE NULL END, CASE WHEN pos % 3 = 0 THEN (pos % 63) END, n.label, -1)::INT AS label

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellspark.functions.vectors import dot, l1_distance, l2_normalised, mean_vector
 from cellspark.operators import analytics as A
 from cellspark.operators import clustering as C
+from cellspark.operators import components as P
 from cellspark.operators import vectors as X
 from cellspark.plans import views as V
 from cellspark.plans.views import with_
@@ -120,6 +121,18 @@ def vec7b(spark, sf_dir):
     return out.select("vec_id", F.size("token").alias("dims"), (F.abs(dot(F.col("token"), F.col("token")) - 1) < 1e-9).alias("unit"))
 
 
+@_query(
+    "vec7_components",
+    f"""{with_('tokens')}, u AS (SELECT vec_id, list_transform(t, lambda x: x / greatest(sqrt(list_dot_product(t, t)), 1e-8)) AS t FROM (SELECT vec_id, token[1:8] AS t FROM tokens)),
+e AS (SELECT i, j, t[i] AS x, t[j] AS y FROM u, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 9)) AS j)) SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, round(covar_samp(x, y), 6) + 0.0 AS cov FROM e GROUP BY i, j""",
+)
+def vec7c(spark, sf_dir):
+    """All components of the first eight numbers, put together to the covariance that they come from."""
+    _, parts = P.principal_components(V.tokens(spark, sf_dir).select(F.slice("token", 1, 8).alias("token")), 8)
+    pairs = parts.select("value", "vector", F.posexplode("vector").alias("i", "x")).select("value", "i", "x", F.posexplode("vector").alias("j", "y"))
+    return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("value") * F.col("x") * F.col("y")), 6) + 0.0).alias("cov"))
+
+
 @_query("vec8_kmeans_checks", "SELECT 10 AS words, count(*) AS points, true AS nearest, true AS settled FROM embeddings")
 def vec8b(spark, sf_dir):
     """The reported error is that of the nearest centroids, and every centroid is the mean of its points."""

@@ -16,6 +16,15 @@ def bucketed(rows: DataFrame, key: str = "key", buckets: int = 256) -> DataFrame
     return rows.withColumn("bucket", (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 2), 16, 10).cast("int") % buckets))
 
 
+def write_joinable(rows: DataFrame, table: str, path: str, key: str = "cell_id", buckets: int = 256) -> DataFrame:
+    """SNK1, SNK2: ``rows`` as the table ``table`` with its files under ``path``, in ``buckets`` by hash of the key and sorted in each: joins of such tables on the key, JON4's among them, move none of their rows.
+
+    Rows are dealt to their buckets first, so that a bucket is one file.
+    """
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def write_histograms(histograms: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK2: Parquet in ``cell_id`` order over all files."""
     histograms.repartitionByRange("cell_id").sortWithinPartitions("cell_id").write.mode(mode).parquet(path)
