@@ -28,24 +28,49 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+#: Largest cost over ``eps`` with which scalings, at most its exponential either way, stay within double precision.
+SAFE = 200.0
+
+
+def _shares(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 1e-8)
+    return x / x.sum(1, keepdims=True)
+
+
 def sinkhorn(p: np.ndarray, q: np.ndarray, cost: np.ndarray, eps: float = 0.05, iterations: int = 50) -> np.ndarray:
-    """Entropic transport cost of each pair of rows: log-domain updates, plans with ``q`` along the rows and ``p`` along the columns, columns exact at the end."""
+    """Entropic transport cost of each pair of rows, plans with ``q`` along the rows and ``p`` along the columns, columns exact at the end.
+
+    The kernel is one matrix for all pairs: an update is a product with it, and a pair holds two
+    scalings and no plan. Costs of more than ``SAFE`` times ``eps`` are worked off in the log domain.
+    """
+    if np.abs(cost).max(initial=0.0) > SAFE * eps:
+        return sinkhorn_log(p, q, cost, eps, iterations)
+    a, b, kernel = _shares(q), _shares(p), np.exp(-cost / eps)
+    u, v = np.ones_like(a), np.ones_like(b)
+    for _ in range(iterations):
+        u = a / (v @ kernel.T)
+        v = b / (u @ kernel)
+    return (u * (v @ (kernel * cost).T)).sum(1)
+
 
-    def marginal(x: np.ndarray) -> np.ndarray:
-        x = np.maximum(x, 1e-8)
-        return np.log(x / x.sum(1, keepdims=True))
+def sinkhorn_log(p: np.ndarray, q: np.ndarray, cost: np.ndarray, eps: float = 0.05, iterations: int = 50) -> np.ndarray:
+    """The same with potentials in place of scalings, for any cost; a pair holds a plan, so pairs are worked off some at a time."""
+    step = max(1, 4_000_000 // max(1, cost.size))
 
     def soft_sum(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
-    a, b, k = marginal(q), marginal(p), -cost / eps
-    u, v = np.zeros_like(a), np.zeros_like(b)
-    for _ in range(iterations):
-        u = a - soft_sum(k[None] + v[:, None, :], 2)
-        v = b - soft_sum(k[None] + u[:, :, None], 1)
-    plan = np.exp(k[None] + u[:, :, None] + v[:, None, :])
-    return (plan * cost[None]).sum((1, 2))
+    out, k = [np.zeros(0)], -cost / eps
+    for at in range(0, len(p), step):
+        a, b = np.log(_shares(q[at : at + step])), np.log(_shares(p[at : at + step]))
+        u, v = np.zeros_like(a), np.zeros_like(b)
+        for _ in range(iterations):
+            u = a - soft_sum(k[None] + v[:, None, :], 2)
+            v = b - soft_sum(k[None] + u[:, :, None], 1)
+        plan = np.exp(k[None] + u[:, :, None] + v[:, None, :])
+        out.append((plan * cost[None]).sum((1, 2)))
+    return np.concatenate(out)
 
 
 def index_cost(k: int) -> np.ndarray:

@@ -402,9 +402,7 @@ def transport_cost(pairs: DataFrame, cost: DataFrame | None = None, eps: float =
                 continue
             a, b = _stack(batch["_p"]), _stack(batch["_q"])
             c = shared.value if shared.value is not None else kernels.index_cost(a.shape[1])
-            step = max(1, 4_000_000 // (a.shape[1] ** 2))
-            out = np.concatenate([kernels.sinkhorn(a[i : i + step], b[i : i + step], c, eps, iterations) for i in range(0, len(a), step)])
-            yield batch.drop(columns=["_p", "_q"]).assign(emd=out)
+            yield batch.drop(columns=["_p", "_q"]).assign(emd=kernels.sinkhorn(a, b, c, eps, iterations))
 
     source = pairs.select(*carry, F.col(p).cast("array<double>").alias("_p"), F.col(q).cast("array<double>").alias("_q"))
     return source.mapInPandas(run, source.drop("_p", "_q").schema.add("emd", "double"))
