@@ -106,7 +106,9 @@ def overlaps(cell_rows: DataFrame, boxes: DataFrame, image: str = "image") -> Da
     def touched(axis: str) -> Column:
         a, b = F.col(f"{axis}0").cast("double"), F.col(f"{axis}1").cast("double")
         low, high = F.greatest(F.least(a, b), F.lit(ends[f"{axis}_low"])), F.least(F.greatest(a, b), F.lit(ends[f"{axis}_high"]))
-        return F.when(low <= high, F.sequence(index(low), index(high))).otherwise(F.array().cast("array<bigint>"))
+        # A corner of an intersection lies before its right and lower edges, so a square that only begins there isn't touched.
+        last = F.when((a < b) & (b == high), F.ceil(high / F.lit(side)).cast("bigint") - 1).otherwise(index(high))
+        return F.when(low <= high, F.sequence(index(low), F.greatest(index(low), last))).otherwise(F.array().cast("array<bigint>"))
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
         return rows.withColumn("_sx", F.explode(touched("x"))).withColumn("_sy", F.explode(touched("y"))).alias(name)
