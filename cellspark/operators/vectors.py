@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions.vectors import argmax, dot, entropy, l1_distance, l2_normalised, mean_vector, norm, sum_vector, total, variance_vector
 from cellspark.operators import kernels
-from cellspark.operators.sampling import hash_order, subsample
+from cellspark.operators.sampling import hash_order, positions, subsample
 
 #: Centroid values that may go to all tasks; larger vocabularies are refused.
 MOST_VALUES = 64_000_000
@@ -311,21 +311,9 @@ def composition_targets(assigned: DataFrame, vocabulary: DataFrame, cell: str =
     return numbered(targets, cell, "target_index")
 
 
-def numbered(rows: DataFrame, key: str, name: str, start: int = 0, parts: int | None = None) -> DataFrame:
-    """Adds the rank of ``key`` over all rows: rows are ranked inside ranges, ranges get their first rank from counts; no task holds all rows."""
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 1000).alias("c")).first().c if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(key) > F.lit(c)).cast("int")
-    ranged = rows.withColumn("_range", bucket)
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    before, total_rows = {}, start
-    for r in sorted(counts):
-        before[r], total_rows = total_rows, total_rows + counts[r]
-    offset = F.create_map(*[F.lit(x) for r in before for x in (r, before[r])]) if before else F.create_map(F.lit(0), F.lit(start))
-    return ranged.withColumn(name, offset[F.col("_range")] + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1).drop("_range")
+def numbered(rows: DataFrame, key: str, name: str, start: int = 0) -> DataFrame:
+    """Adds the rank of ``key`` over all rows, from ``start``: a place in a range sort, so that no task holds all rows and the plan is the same for any number of partitions."""
+    return positions(rows, [F.asc(key)], name).withColumn(name, F.col(name) + F.lit(start - 1))
 
 
 def target_diversity(targets: DataFrame, most: int = 1000, seed: int = 42, key: str = "cell_id") -> DataFrame:
