@@ -80,10 +80,28 @@ def label_report(rows: DataFrame, category: str = "category") -> DataFrame:
     return each
 
 
+def json_string(c: Column) -> Column:
+    """A string in JSON's plain ASCII form: other characters as ``\\u`` and four hex digits of each of their UTF-16 units; null for null."""
+    unit = lambda u: F.conv(u, 16, 10).cast("bigint")
+    short = F.create_map(*[F.lit(x) for pair in (("0022", '\\"'), ("005c", "\\\\"), ("000a", "\\n"), ("000d", "\\r"), ("0009", "\\t"), ("0008", "\\b"), ("000c", "\\f")) for x in pair])
+    plain = lambda u: F.when((u >= "0020") & (u <= "007e"), F.chr(unit(u))).otherwise(F.concat(F.lit("\\u"), u))
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(c, "UTF-16BE"))), F.lit("([0-9a-f]{4})"), F.lit(1))
+    return F.concat(F.lit('"'), F.array_join(F.transform(units, lambda u: F.coalesce(short[u], plain(u))), ""), F.lit('"'))
+
+
+def json_number(c: Column) -> Column:
+    """A number in JSON's form: integers as they are, doubles from 0.0001 to below 1e16 by their shortest digits with a point, zero as ``0.0``; other sizes fail. Null for null. Java before 19 writes a few doubles with a digit more than needed, and so does this."""
+    text = c.cast("string")
+    digits = F.regexp_replace(c.cast("double").cast("string").cast("decimal(38, 20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(c.cast("double"))
+    double = F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), digits)
+    return F.when(c.isNull(), F.lit(None)).when(F.typeof(c).isin("float", "double"), F.coalesce(double, F.raise_error(F.concat(F.lit("not a JSON number here: "), text)).cast("string"))).otherwise(text)
+
+
 def cache_key(image: Column, weights: Column, mtime: Column, size: Column, cell: int = 512, kind: str = "patch_tokens_bovw", shape: Sequence[int] = (256, 1024)) -> Column:
-    """SHA-1 of the payload as JSON with sorted keys, ``", "`` and ``": "`` between: byte-equal for integers, plain ASCII strings and nulls."""
-    value = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """SHA-1 of the payload as JSON with sorted keys, ``", "`` and ``": "`` between, in plain ASCII: byte-equal for integers, doubles of ``json_number``, any strings and nulls."""
+    value = lambda c: F.coalesce(json_number(c), F.lit("null"))
+    quoted = json_string
     body = F.concat(
         F.lit(f'{{"cell_size": {cell}, "image": '), quoted(image), F.lit(f', "output_shape": [{", ".join(map(str, shape))}], "output_type": "{kind}", "weights_mtime": '),
         value(mtime), F.lit(', "weights_path": '), quoted(weights), F.lit(', "weights_size": '), value(size), F.lit("}"),

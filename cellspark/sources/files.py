@@ -68,7 +68,7 @@ def read_split_list(spark: SparkSession, path: str, classes: DataFrame) -> DataF
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     item = F.translate(F.get(F.split("line", r"\s+"), 0), "\\", "/")
     parts = lines.select("line", item.alias("item")).withColumn("category", F.when(F.size(F.split("item", "/")) >= 2, F.get(F.split("item", "/"), 0)))
-    joined = parts.join(F.broadcast(classes.select("category", "label")), "category", "left")
+    joined = parts.join(classes.select("category", "label"), "category", "left")
     return joined.select("item", "category", F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("bad split line: "), "line")).cast("int")).otherwise(F.col("label")).alias("label"))
 
 
