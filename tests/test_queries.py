@@ -48,3 +48,8 @@ def test_ivf_recall(spark):
     ivf = QUERIES["ret2_ivf"](spark, SF).toPandas()
     exact = QUERIES["ret1_top_k"](spark, SF).toPandas()
     assert len(ivf.merge(exact, on=["query_id", "item_id"])) >= 0.9 * len(exact)
+
+
+def test_metrics_of_every_row(spark):
+    got = QUERIES["ret3_metrics"](spark, SF).toPandas()
+    assert (got.queries == spark.read.parquet(f"{SF}/embeddings.parquet").count()).all() and len(got) == 3
