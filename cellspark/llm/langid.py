@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cellspark.llm import blocks
 from cellspark.llm.lattice import Lookup, cut, default_vocabulary, estimate, lattice, lowered_words
@@ -64,9 +65,17 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(np.vstack((logp, np.full((1, logp.shape[1]), -np.log(logp.shape[1])))))
     labels = np.array([*names, UNKNOWN], object)
 
+    # A text that is in the carried row as it is doesn't go to Python a second time.
+    inside = docs.columns.index(text_col) if carry and docs.columns.count(text_col) == 1 and docs.schema[text_col].dataType == StringType() else None
+
+    def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch if inside is None else batch.append_column("text", batch.column("carried").field(inside))
+
+    @blocks.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, cache = lattice(path), Lookup(len(names) + 1)
-        for part in blocks.slices(batches):
+        for part in blocks.slices(texted(batches)):
             best, score, fit = np.full(part.num_rows, len(names)), np.zeros(part.num_rows), np.zeros(part.num_rows)
             if names:
                 buf, starts, ends, first, hashes = lowered_words(part.column("text"))
@@ -91,6 +100,6 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter")
     carried = [F.struct(*docs.columns).alias("carried")] if carry else []
-    source = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), *carried, text.alias("text"), letter)
+    source = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), *carried, letter, *([text.alias("text")] if inside is None else []))
     out = source.mapInArrow(run, source.drop("text", "letter").schema.add("lang_pred", "string").add("score", "double").add("fit", "double"))
     return out.select("doc_id", "held_out", "lang_pred", "score", "fit", *(["carried"] if carry else []))

@@ -192,6 +192,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("source"))
 
+    @blocks.lean
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, tokens, held = TaskContext.get().partitionId(), Tokens(path), {}
         for part in blocks.slices(batches):
@@ -216,6 +217,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         raise ValueError("weights must be above 0")
     shared = docs.sparkSession.sparkContext.broadcast((number, totals, shares))
 
+    @blocks.lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, totals, shares = shared.value
         schedule = Schedule(totals, window * length, shares)

@@ -45,17 +45,14 @@ PIECE = 8_000
 
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, width: int, seed: int = 42) -> np.ndarray:
     """One 64-bit fingerprint for each document of a block."""
-    buf = blocks.LOWER[buf]
-    starts, ends, first = blocks.words(buf, offsets)
-    n = np.diff(first)
-    many = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
-    bits = np.zeros((len(n), 64), bool)
+    return majority(*shingle_hashes(buf, offsets, width, seed))
+
+
+def majority(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Fingerprints of documents that have ``many`` of the ``hashes`` each, one after another: a bit is set if it is in more than half of them."""
+    bits = np.zeros((len(many), 64), bool)
     full = np.flatnonzero(many)
     if len(full):
-        flat, starts, ends = blocks.squeeze(buf, starts, ends)
-        begin = blocks.ragged(first[:-1][full], many[full])
-        end = begin + np.repeat(np.minimum(n[full], width) - 1, many[full])
-        hashes = blocks.xxh64(flat, starts[begin], ends[end], seed)
         each = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         count = np.add.reduceat(each, np.cumsum(many[full]) - many[full], axis=0, dtype=np.int32)
         bits[full] = 2 * count > many[full][:, None]
@@ -144,6 +141,7 @@ def _links(prints: DataFrame, threshold: int, double: bool | None = None) -> Dat
     """Edges (a, b) between distinct fingerprints that connect all linked ones; pairs of blocks by default where there are more than ``MANY``."""
     reach = Covering(threshold, prints.count() > MANY if double is None else double)
 
+    @blocks.lean
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, PIECE):
@@ -165,6 +163,7 @@ def _links(prints: DataFrame, threshold: int, double: bool | None = None) -> Dat
         hit = listed[at] == cells
         return np.where(hit, rows[at], 1), np.where(hit, columns[at], 1)
 
+    @blocks.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, PIECE):
@@ -186,6 +185,7 @@ def _links(prints: DataFrame, threshold: int, double: bool | None = None) -> Dat
                 task, v, is_home = (np.concatenate(x) for x in zip(*out))
                 yield pa.record_batch([pa.array(task), _longs(v), pa.array(is_home)], ["task", "fp", "home"])
 
+    @blocks.lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task, fp, home in whole_groups(batches):
             cut = np.flatnonzero(np.diff(task)) + 1
@@ -306,9 +306,10 @@ def jaccard_labels(sets: list[np.ndarray], at: np.ndarray, to: np.ndarray, least
     return label
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """``pid, comp`` of the rows of ``pid, bands, n`` that share a band with another, joined over shared bands."""
+def _candidates(prints: DataFrame, threshold: int) -> DataFrame:
+    """``pid, comp`` of the rows of ``pid, fp, bands, n`` whose fingerprint links with another's or that share a band with another, joined over both."""
 
+    @blocks.lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<u8")
@@ -316,14 +317,22 @@ def _candidates(prints: DataFrame) -> DataFrame:
 
     dealt = prints.where("n > 0").select("pid", "bands").mapInArrow(deal, "bucket bigint, pid bigint")
     crowded = dealt.groupBy("bucket").agg(F.min("pid").alias("low"), F.count("*").alias("many")).where("many > 1").select("bucket", "low")
-    joined = connected_components(dealt.join(crowded.hint("merge"), "bucket").select(F.col("pid").alias("a"), F.col("low").alias("b")))
+    banded = dealt.join(crowded.hint("merge"), "bucket").select(F.col("pid").alias("a"), F.col("low").alias("b"))
+    # Links between fingerprints hold for the first row of each, and equal fingerprints for all their rows.
+    worded = prints.where("n > 0").select("pid", "fp")
+    firsts = staged(worded.groupBy("fp").agg(F.min("pid").alias("low"), F.count("*").alias("many")), "fingerprints")
+    equal = worded.join(firsts.where("many > 1").hint("merge"), "fp").select(F.col("pid").alias("a"), F.col("low").alias("b"))
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}")).hint("merge") for x in "ab")
+    linked = _links(firsts.select("fp"), threshold).join(a, "a").join(b, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    joined = connected_components(banded.unionByName(equal).unionByName(linked))
+    release(firsts)
     return joined.select(F.col("node").alias("pid"), F.col("root").alias("comp")).unionByName(joined.select(F.col("root").alias("pid"), F.col("root").alias("comp")).distinct())
 
 
-def _verified(rows: DataFrame, prints: DataFrame, width: int, least: float) -> DataFrame:
+def _verified(rows: DataFrame, prints: DataFrame, width: int, least: float, threshold: int) -> DataFrame:
     """Edges (a, b) between rows of ``prints`` that connect all candidates of a similarity of ``least`` or more; large groups of candidates are cut into cells, all of which are compared."""
     piece = max(1, CELL // 8)
-    member = staged(prints.select("pid", "kid", "tid", "n").join(_candidates(prints).hint("merge"), "pid"), "members")
+    member = staged(prints.select("pid", "kid", "tid", "n").join(_candidates(prints, threshold).hint("merge"), "pid"), "members")
     pieces = F.greatest(F.ceil(F.count("*") / piece), F.ceil(F.sum("n") / SHINGLES)).cast("int")
     cut = member.join(member.groupBy("comp").agg(pieces.alias("pieces")), "comp")
     chosen = cut.select("kid", "tid", "pid", "comp", "pieces", F.pmod(F.xxhash64("pid"), "pieces").cast("int").alias("mine"))
@@ -334,6 +343,7 @@ def _verified(rows: DataFrame, prints: DataFrame, width: int, least: float) -> D
         names = ["pid", "comp", "pieces", "mine"]
         return pa.record_batch([*map(part.column, names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
+    @blocks.lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task, pid, side, shingles in whole_groups(batches, 5_000):
             edge = np.flatnonzero(np.diff(task)) + 1
@@ -355,13 +365,14 @@ def _verified(rows: DataFrame, prints: DataFrame, width: int, least: float) -> D
     return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(compare, "a bigint, b bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, threshold: int = 4) -> DataFrame:
     """Rows of ``docs``, all columns, without the near copies: of each component the row of the smallest id stays.
 
     Texts link if the similarity (Jaccard) of their sets of ``width``-word shingles, lower
     case, is ``least`` or more, by the sets themselves. Pairs to compare are those joined over
-    shared bands of MinHash signatures: at a similarity of 0.8 a pair shares one with probability
-    0.9996, more above it. Rows with null ids come last in that order; rows with equal ids and
+    SimHash fingerprints that differ in at most ``threshold`` bits, all found by the covering of
+    ``simhash_components``, and, as copies at a similarity of 0.8 differ in more, over shared
+    bands of MinHash signatures too: at 0.8 a pair shares one with probability 0.9996, more above it. Rows with null ids come last in that order; rows with equal ids and
     texts are copies, of which one stays; rows with equal ids and different texts are different.
     Wordless and null texts are copies of each other. An empty table stays empty; other columns
     may have any name.
@@ -381,12 +392,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for k in range(2):
                 sums[k, full] = np.add.reduceat(blocks.mix(hashes + np.uint64(k)), at)
         bands = pa.array([x.tobytes() for x in minhash_bands(hashes, many)], pa.binary())
-        return pa.record_batch([part.column("kid"), part.column("tid"), _longs(sums[0]), _longs(sums[1]), pa.array(many), bands], ["kid", "tid", "s1", "s2", "n", "bands"])
+        return pa.record_batch([part.column("kid"), part.column("tid"), _longs(sums[0]), _longs(sums[1]), pa.array(many), _longs(majority(hashes, many)), bands], ["kid", "tid", "s1", "s2", "n", "fp", "bands"])
 
-    each = staged(rows.mapInArrow(blocks.in_blocks(run), "kid bigint, tid bigint, s1 bigint, s2 bigint, n bigint, bands binary"), "signatures")
-    alike = each.groupBy("s1", "s2", "n").agg(F.min(F.struct("kid", "tid")).alias("first"), F.min("bands").alias("bands"))
-    prints = staged(alike.select(F.monotonically_increasing_id().alias("pid"), "first.kid", "first.tid", "n", "bands"), "prints")
-    roots = connected_components(_verified(rows, prints, width, least))
+    each = staged(rows.mapInArrow(blocks.in_blocks(run), "kid bigint, tid bigint, s1 bigint, s2 bigint, n bigint, fp bigint, bands binary"), "signatures")
+    alike = each.groupBy("s1", "s2", "n").agg(F.min(F.struct("kid", "tid")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    prints = staged(alike.select(F.monotonically_increasing_id().alias("pid"), "first.kid", "first.tid", "n", "fp", "bands"), "prints")
+    roots = connected_components(_verified(rows, prints, width, least, threshold))
     rooted = prints.join(roots, F.col("pid") == F.col("node"), "left").select("kid", "tid", F.coalesce("root", "pid").alias("root"))
     keep = staged(rooted.groupBy("root").agg(F.min(F.struct("kid", "tid")).alias("first")).select("first.kid", "first.tid"), "kept")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), kid.alias("kid"), F.xxhash64(text).alias("tid"))

@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles, a similarity of 0.8 or more; of several the smallest id, of equal rows one, of wordless texts one."""
+    """Keeps one document of each group of near copies: candidates by SimHash fingerprints within four bits, through the covering of op2, and by MinHash bands for the less similar; then exactly, by sets of five-word shingles, a similarity of 0.8 or more; of several the smallest id, of equal rows one, of wordless texts one."""
     return drop_near_duplicates(docs, width=5)
 
 

@@ -226,6 +226,24 @@ def test_near_duplicates_at_the_limit(spark, monkeypatch):
         assert sum(left[1000 + i] for i in range(200)) <= 1
 
 
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """Without a shared band, copies whose fingerprints are within four bits are found through the covering, and the exact check follows."""
+    stage = pytest.importorskip("corpus_pipeline").near_dedup
+    monkeypatch.setattr(simhash, "minhash_bands", lambda hashes, many: np.random.default_rng().integers(0, 2**64, (len(many), 20), np.uint64))
+    rng = np.random.default_rng(10)
+    rows = []
+    for i in range(60):
+        w = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
+        v = list(w)
+        v[150] = "changed"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    fp = simhash.fingerprints(*blocks.layout(pa.array([t for _, t in rows])), 5)
+    far = np.bitwise_count(fp[::2] ^ fp[1::2])
+    assert (far <= 4).sum() > 20 and (far > 4).any()
+    left = {i for i, _ in texts(stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF))}
+    assert left == set(range(60)) | {1000 + i for i in range(60) if far[i] > 4}
+
+
 def test_wide_cells(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 3)
     base = " ".join(f"w{i}" for i in range(400))
