@@ -15,14 +15,30 @@ def soft_weights(tokens: np.ndarray, centroids: np.ndarray, beta: float, floor:
     return w / np.maximum(w.sum(1, keepdims=True), floor)
 
 
-def nearest(tokens: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Closest centroid of each row by Euclidean distance (first on a tie), and the squared distance."""
+def nearest(tokens: np.ndarray, centroids: np.ndarray, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Closest centroid of each row by Euclidean distance (first on a tie), and the squared distance. With ``digits``, distances that are equal to so many decimals tie."""
     d = (tokens * tokens).sum(1)[:, None] - 2 * tokens @ centroids.T + (centroids * centroids).sum(1)[None]
     word = d.argmin(1)
+    if digits is not None and len(centroids) > 1:
+        _settle(tokens, centroids, digits, d, word)
     diff = tokens - centroids[word]
     return word, (diff * diff).sum(1)
 
 
+def _settle(tokens: np.ndarray, centroids: np.ndarray, digits: int, d: np.ndarray, word: np.ndarray) -> None:
+    """Decides ``word`` by rounded distances where several centroids come near enough to the closest, by ``d``, to tie with it; these are taken from the differences, as ``d`` is inexact near zero."""
+    slack = 1e-13 * ((tokens * tokens).sum(1) + (centroids * centroids).sum(1).max())[:, None]
+    least = np.take_along_axis(d, word[:, None], 1)
+    near = np.sqrt(np.maximum(d - slack, 0)) <= np.sqrt(np.maximum(least, 0) + slack) + 10.0**-digits
+    open_ = np.flatnonzero(near.sum(1) > 1)
+    step = max(1, 4_000_000 // max(1, centroids.size))
+    for at in range(0, len(open_), step):
+        rows = open_[at : at + step]
+        diff = tokens[rows][:, None, :] - centroids[None]
+        exact = np.where(near[rows], np.round(np.sqrt((diff * diff).sum(2)), digits), np.inf)
+        word[rows] = exact.argmin(1)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None]
     return np.sqrt(np.maximum(d, 0))

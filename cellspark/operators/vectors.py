@@ -136,8 +136,8 @@ def cluster(tokens: DataFrame, method: str, k: int, seed: int = 42, column: str
     return kinds[method](**options).fit(training).transform(points).drop(*drop)
 
 
-def assign(tokens: DataFrame, vocabulary: DataFrame, column: str = "token", carry: Sequence[str] = ("cell_id", "pos")) -> DataFrame:
-    """VEC10: ``carry…, word, distance2``: the nearest centroid of each token."""
+def assign(tokens: DataFrame, vocabulary: DataFrame, column: str = "token", carry: Sequence[str] = ("cell_id", "pos"), digits: int | None = None) -> DataFrame:
+    """VEC10: ``carry…, word, distance2``: the nearest centroid of each token, the smallest word on a tie; with ``digits``, distances that are equal to so many decimals tie."""
     words, centroids = matrix(vocabulary)
     shared = tokens.sparkSession.sparkContext.broadcast((words, centroids))
 
@@ -145,7 +145,7 @@ def assign(tokens: DataFrame, vocabulary: DataFrame, column: str = "token", carr
         names, c = shared.value
         for batch in batches:
             if len(batch):
-                at, d = kernels.nearest(_stack(batch["_v"]), c)
+                at, d = kernels.nearest(_stack(batch["_v"]), c, digits)
                 yield batch.drop(columns="_v").assign(word=names[at].astype(np.int32), distance2=d)
 
     source = tokens.select(*carry, F.col(column).cast("array<double>").alias("_v"))

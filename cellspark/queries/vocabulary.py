@@ -294,7 +294,7 @@ s AS (SELECT v.word, count(n.word) AS size FROM bigv v LEFT JOIN n ON n.word = v
 )
 def vec10c(spark, sf_dir):
     v = V.big_vocabulary(spark, sf_dir)
-    return _round(X.cluster_sizes(X.assign(V.big_tokens(spark, sf_dir), v), v), "share")
+    return _round(X.cluster_sizes(X.assign(V.big_tokens(spark, sf_dir), v, digits=9), v), "share")
 
 
 @_query("vec11_ground_cost", f"{with_('vocabulary')} SELECT a.word AS i, b.word AS j, CASE WHEN a.word = b.word THEN 0 ELSE round(least(1, greatest(0, 1 - list_cosine_similarity(a.centroid, b.centroid))), 6) END AS cost FROM vocabulary a, vocabulary b")
