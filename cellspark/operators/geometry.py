@@ -186,5 +186,6 @@ def triplets(tiles: DataFrame, tile: int, seed: int = 42, image: str = "image")
     drawn = images.select(image, F.explode(F.transform("_ts", lambda t, i: F.struct(t.alias("t"), other(t, i).alias("other"), step(t).alias("no"), draw("tile", t).alias("draw")))).alias("_d"))
     drawn = drawn.select(image, F.col("_d.t").alias("tile_idx"), F.col("_d.other").alias("_other"), F.col("_d.no").alias("_no"), F.col("_d.draw").alias("_draw"))
     there = images.select(F.col("_image_no").alias("_no"), F.col(image).alias("neg_image"), F.col("_ts").alias("_neg"))
-    full = drawn.join(there, "_no").select(image, "tile_idx", "_other", "neg_image", F.get("_neg", (F.col("_draw") % F.size("_neg")).cast("int")).alias("neg_tile")).join(near, [image, "tile_idx"])
+    # Tiles are many times the rows that Spark expects from the size of the images' files, so neither side may be broadcast.
+    full = drawn.join(there.hint("merge"), "_no").select(image, "tile_idx", "_other", "neg_image", F.get("_neg", (F.col("_draw") % F.size("_neg")).cast("int")).alias("neg_tile")).join(near.hint("merge"), [image, "tile_idx"])
     return full.select(image, "tile_idx", F.coalesce("_near", "_other").alias("pos_tile"), F.col("_near").isNotNull().alias("pos_near"), "neg_image", "neg_tile")
