@@ -159,8 +159,8 @@ def str1b(spark, sf_dir):
 
 
 def _pictures(spark, sf_dir, times: int):
-    """A small image for each customer, its bytes a pattern of the key, blue first."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    """A small image for each customer, its bytes a pattern of the key, blue first. Keys are dealt to all tasks first: few bytes of customers make many of images."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     width, height = (3 + F.col("key") % 4).cast("int"), (2 + F.col("key") % 3).cast("int")
     value = lambda i: F.lpad(F.hex((F.col("key") * times + i * 31) % 256), 2, "0")
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), width * height * 3 - 1), value), ""))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -106,21 +107,52 @@ def pixel_block(data: bytes, width: int, height: int, channels: int, x: int, y:
     return out
 
 
-def pixel_tiles(images: DataFrame, tile: int, stride: int) -> DataFrame:
-    """PIX1: ``origin, tile_idx, x, y, pixels``: covering tiles, zero-padded, scaled to [-1, 1], flattened by row and pixel. An image is decoded and cut where it lies; its bytes are not copied per tile."""
+#: A byte's pixel value in [-1, 1].
+_SCALED = ((np.arange(256) / 255.0 - 0.5) / 0.5).astype(np.float32)
+#: Pixel values that are cut at once, about; a row of one image's tiles at least.
+TILE_VALUES = 2_000_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def pixel_tiles(images: DataFrame, tile: int, stride: int) -> DataFrame:
+    """PIX1: ``origin, tile_idx, x, y, pixels``: covering tiles, zero-padded, scaled to [-1, 1], flattened by row and pixel. An image is cut where it lies; images of one size are cut together, some at a time."""
+
+    def cut(images: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tile row, tile column and pixels of all tiles of images of one size, image by image for each part of the rows of tiles."""
+        n, height, width, channels = images.shape
+        down, across = -(-height // stride), -(-width // stride)
+        padded = np.zeros((n, (down - 1) * stride + tile, (across - 1) * stride + tile, channels), np.uint8)
+        rows, columns = (min(a, b) for a, b in zip(images.shape[1:3], padded.shape[1:3]))
+        padded[:, :rows, :columns] = images[:, :rows, :columns]
+        windows = np.lib.stride_tricks.sliding_window_view(padded, (tile, tile), (1, 2))[:, ::stride, ::stride].transpose(0, 1, 2, 4, 5, 3)
+        step = max(1, TILE_VALUES // max(1, n * across * tile * tile * channels))
+        for at in range(0, down, step):
+            part = windows[:, at : at + step]
+            y, x = np.divmod(np.arange(part.shape[1] * across), across)
+            yield np.tile(y + at, n), np.tile(x, n), _SCALED[part].reshape(n * len(y), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = []
-                across = -(-r.width // stride)
-                for y in range(0, r.height, stride):
-                    for x in range(0, r.width, stride):
-                        block = pixel_block(r.data, r.width, r.height, r.n_channels, x, y, tile)
-                        rows.append((r.origin, y // stride * across + x // stride, x, y, ((block / 255.0 - 0.5) / 0.5).astype(np.float32).ravel()))
-                yield pd.DataFrame(rows, columns=["origin", "tile_idx", "x", "y", "pixels"])
-
-    return images.select("origin", "width", "height", "n_channels", "data").mapInPandas(run, "origin string, tile_idx int, x int, y int, pixels array<float>")
+            if not batch.num_rows:
+                continue
+            sizes, kind = np.unique(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width", "n_channels")]), axis=0, return_inverse=True)
+            for i, size in enumerate(sizes):
+                height, width, channels = (int(v) for v in size)
+                if height <= 0 or width <= 0:
+                    continue
+                same = np.flatnonzero(kind.ravel() == i)
+                down, across = -(-height // stride), -(-width // stride)
+                step = max(1, TILE_VALUES // max(1, down * across * tile * tile * channels))
+                for at in range(0, len(same), step):
+                    rows = same[at : at + step]
+                    data = [batch.column("data")[int(r)].as_buffer() for r in rows]
+                    pixels = np.stack([np.frombuffer(d, np.uint8).reshape(height, width, channels) for d in data])
+                    for y, x, values in cut(pixels[:, :, :, [2, 1, 0]] if channels >= 3 else pixels):
+                        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+                        whole = [pa.array(np.asarray(v, np.int32)) for v in (y * across + x, x * stride, y * stride)]
+                        origin = batch.column("origin").take(pa.array(np.repeat(rows, len(values) // len(rows))))
+                        yield pa.record_batch([origin, *whole, pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], ["origin", "tile_idx", "x", "y", "pixels"])
+
+    return images.select("origin", "width", "height", "n_channels", "data").mapInArrow(run, "origin string, tile_idx int, x int, y int, pixels array<float>")
 
 
 def aligned_patches(before: DataFrame, after: DataFrame, labels: DataFrame, patch: int, stride: int) -> DataFrame:
