@@ -182,7 +182,12 @@ def pix1(spark, sf_dir):
 
 def _brightness():
     """A stand-in for a model: mean and largest pixel."""
-    return lambda frame: np.array([[np.mean(p), np.max(p)] for p in frame["pixels"]])
+
+    def model(frame):
+        pixels = np.array(frame["pixels"].tolist(), np.float64)
+        return np.column_stack((pixels.mean(1), pixels.max(1)))
+
+    return model
 
 
 @_query("ret6_index", f"{_TILES} SELECT key::VARCHAR AS origin, ((y // 2) * ((w + 1) // 2) + x // 2)::INT AS tile_idx, x::INT AS x, y::INT AS y, round(avg((b / 255 - 0.5) / 0.5), 4) AS a, round(max((b / 255 - 0.5) / 0.5), 4) AS b FROM p GROUP BY key, w, x, y")

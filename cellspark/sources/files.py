@@ -176,23 +176,25 @@ def aligned_patches(before: DataFrame, after: DataFrame, labels: DataFrame, patc
     return joined.mapInPandas(run, "name string, x int, y int, a array<smallint>, b array<smallint>, changed array<smallint>")
 
 
-def embed(rows: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]], inputs: Sequence[str], batch: int = 64, column: str = "embedding") -> DataFrame:
-    """EXT1: adds ``column`` by a user's model: ``make_model()`` is called once in each task and gives a function from a batch of ``inputs`` to one vector for each row. NaN in a result fails."""
-    schema = StructType([*rows.schema.fields, StructField(column, ArrayType(FloatType()))])
+def embed(rows: DataFrame, make_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]], inputs: Sequence[str], batch: int = 64, column: str = "embedding", keep: Sequence[str] | None = None) -> DataFrame:
+    """EXT1: adds ``column`` by a user's model: ``make_model()`` is called once in each task and gives a function from a batch of ``inputs`` to one vector for each row. NaN in a result fails. With ``keep`` only these columns come back beside it."""
+    kept = list(rows.columns if keep is None else keep)
+    schema = StructType([*[rows.schema[c] for c in kept], StructField(column, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in batches:
+            given, out = frame[list(inputs)], []
             for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                out = np.asarray(model(part[list(inputs)]), np.float32)
-                if np.isnan(out).any():
+                made = np.asarray(model(given.iloc[i : i + batch]), np.float32)
+                if np.isnan(made).any():
                     raise ValueError("the model gave NaN")
-                yield part.assign(**{column: list(out)})
+                out.extend(made)
+            yield frame[kept].assign(**{column: out})
 
     return rows.mapInPandas(run, schema)
 
 
 def index_rows(images: DataFrame, tile: int, stride: int, make_model: Callable, batch: int = 64) -> DataFrame:
     """RET6: ``origin, tile_idx, x, y, embedding``: tiles through a model, ready for the vector store."""
-    return embed(pixel_tiles(images, tile, stride), make_model, ["pixels"], batch).drop("pixels")
+    return embed(pixel_tiles(images, tile, stride), make_model, ["pixels"], batch, keep=["origin", "tile_idx", "x", "y"])

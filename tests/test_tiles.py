@@ -36,3 +36,23 @@ def test_data_of_another_size_fails(spark):
     images = spark.createDataFrame([("a", 2, 2, 3, bytearray(11))], "origin string, width int, height int, n_channels int, data binary")
     with pytest.raises(Exception, match="reshape"):
         files.pixel_tiles(images, 2, 2).collect()
+
+
+def test_model_gets_batches_and_sends_no_pixels_back(spark, monkeypatch):
+    images = spark.range(7).selectExpr("cast(id as string) AS origin", "3 AS width", "2 AS height", "3 AS n_channels", "unhex(repeat(lpad(hex(id), 2, '0'), 18)) AS data").coalesce(1)
+
+    def make():
+        return lambda frame: np.array([[len(frame), p[0]] for p in frame["pixels"]])
+
+    out = files.index_rows(images, 2, 2, make, batch=5)
+    assert out.columns == ["origin", "tile_idx", "x", "y", "embedding"]
+    assert "pixels" not in out._jdf.queryExecution().optimizedPlan().output().mkString(",")
+    rows = out.collect()
+    assert sorted(r.embedding[0] for r in rows) == [4] * 4 + [5] * 10
+    assert all(abs(r.embedding[1] - (int(r.origin) / 127.5 - 1)) < 1e-6 for r in rows)
+    # What goes from Python to Spark.
+    ran = []
+    monkeypatch.setattr(type(out), "mapInPandas", lambda self, f, schema: ran.append(schema))
+    monkeypatch.setattr(type(out), "drop", lambda self, *c: self)
+    files.index_rows(images, 2, 2, make)
+    assert ran[0].fieldNames() == ["origin", "tile_idx", "x", "y", "embedding"]
