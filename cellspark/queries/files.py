@@ -18,6 +18,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 #: Files that a table is written to.
 FILES = 16
+#: Boxes to a file of sidecars, about: there are as many more files as there are more boxes.
+BOXES = 40_000
 
 
 def _query(name: str, sql: str):
@@ -28,10 +30,10 @@ def _query(name: str, sql: str):
     return keep
 
 
-def _write_documents(rows, key: str, value, path: str) -> None:
-    """One JSON document for each of ``FILES`` remainders of the key, a file each: ``value`` makes it of the sorted rows."""
-    grouped = rows.groupBy((F.col(key) % FILES).alias("file")).agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in rows.columns if c != key]))).alias("rows"))
-    grouped.select("file", value(F.col("rows")).alias("value")).write.partitionBy("file").text(path)
+def _write_documents(rows, key: str, value, path: str, files: int = FILES, compression: str = "none") -> None:
+    """One JSON document for each of ``files`` remainders of the key, a file each: ``value`` makes it of the sorted rows."""
+    grouped = rows.groupBy((F.col(key) % files).alias("file")).agg(F.sort_array(F.collect_list(F.struct(key, *[c for c in rows.columns if c != key]))).alias("rows"))
+    grouped.select("file", value(F.col("rows")).alias("value")).write.partitionBy("file").text(path, compression=compression)
 
 
 @_query("src1_file_list", f"{with_('paths')} SELECT (row_number() OVER (PARTITION BY pos % {FILES} ORDER BY pos) - 1)::BIGINT AS pos, path FROM paths")
@@ -75,7 +77,8 @@ def src3(spark, sf_dir):
     box = F.struct("pos", "part", category.alias("category"), F.array("bx", "by", "bw", "bh").alias("box"), F.when(F.col("part") % 11 == 0, "here").alias("raw_location"))
     rows = b.groupBy("image").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     sidecar = lambda r: F.struct((r.image % 1000).cast("int").alias("img_width"), F.lit(500).alias("img_height"), F.transform(r.boxes, lambda x: F.struct(x.category.alias("category"), x.box.alias("box"), x.raw_location.alias("raw_location"))).alias("bounding_boxes"))
-    _write_documents(rows, "image", lambda r: F.to_json(F.transform(r, sidecar)), path)
+    files = max(FILES, -(-table(spark, sf_dir, "lineitem").count() // BOXES))
+    _write_documents(rows, "image", lambda r: F.to_json(F.transform(r, sidecar)), path, files, "gzip")
     return S.read_annotations(spark, path).drop("file")
 
 
