@@ -119,20 +119,38 @@ def diverse_words(hist: np.ndarray, weights: np.ndarray, n: int = 6, pool: int =
     return chosen + [int(w) for w in ranked if int(w) not in chosen][: n - len(chosen)]
 
 
-def best_pairs(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int, banned: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, item (row numbers) and inner product of the ``k`` best items of each query, best first, ties by the smaller id; ``banned`` [query, item] pairs don't count. ``step`` queries are scored at once."""
+#: Scores that are held at once, about.
+SCORES = 4_000_000
+
+
+def best_pairs(queries: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int, groups: tuple[np.ndarray, np.ndarray] | None = None, step: int = 1024, digits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, item (row numbers) and inner product, to ``digits`` decimals, of the ``k`` best items of each query, best first, ties by the smaller id; with ``groups`` of the queries and the items, pairs of one group don't count.
+
+    ``step`` queries meet some items at a time: what is held doesn't grow with both. Of later items only those that reach a query's ``k``-th best so far are looked at again.
+    """
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     m = min(k, len(items))
+    across = max(m, SCORES // step, 1)
     for at in range(0, len(queries) if m else 0, step):
-        score = queries[at : at + step] @ items.T
-        if banned is not None:
-            score[banned[at : at + step]] = -np.inf
-        # All that reach the m-th best score, ties at the border included.
-        least = -np.partition(-score, m - 1, axis=1)[:, m - 1]
-        row, column = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-        order = np.lexsort((ids[column], -score[row, column], row))
-        row, column = row[order], column[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(score)))[row] < m
-        row, column = row[keep], column[keep]
-        found.append((row + at, column, score[row, column]))
+        some = queries[at : at + step].astype(np.float64, copy=False)
+        row, column, value = found[0]
+        bar = np.full(len(some), -np.inf)
+        for start in range(0, len(items), across):
+            score = some @ items[start : start + across].astype(np.float64, copy=False).T
+            if groups is not None:
+                score[groups[0][at : at + step, None] == groups[1][None, start : start + across]] = -np.inf
+            if not start:
+                bar = -np.partition(-score, m - 1, axis=1)[:, m - 1]
+            # All that may reach the m-th best once rounded, ties at the border included.
+            r, c = np.nonzero(score >= bar[:, None] - 10.0**-digits)
+            v = score[r, c]
+            real = np.isfinite(v)
+            row, column, value = np.concatenate((row, r[real])), np.concatenate((column, c[real] + start)), np.concatenate((value, np.round(v[real], digits)))
+            order = np.lexsort((ids[column], -value, row))
+            row, column, value = row[order], column[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+            row, column, value, place = (x[place < m] for x in (row, column, value, place))
+            bar = np.full(len(some), -np.inf)
+            bar[row[place == m - 1]] = value[place == m - 1]
+        found.append((row + at, column, value))
     return tuple(np.concatenate(x) for x in zip(*found))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,36 +28,41 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, normalize: bool = False, exclude_fold: bool = False) -> DataFrame:
-    """RET1: ``query_id, rank, item_id, score``: exact inner-product top k.
+    """RET1: ``query_id, rank, item_id, score``: exact inner-product top k, by scores to nine decimals, ties by the smaller id.
 
     Queries (``query_id, embedding`` and, with ``exclude_fold``, ``fold``) and items are dealt
-    to blocks of a bounded number of values by hash; each pair of blocks is one matrix product
-    in one task, which keeps the k best items of every query, and only those are ranked. With
+    to blocks of a bounded number of values by hash; each pair of blocks is worked off in one task,
+    some queries and items at a time, which keeps the k best items of every query, and only those are
+    ranked. Blocks are as many on either side as make the fewest copies of vectors. With
     ``exclude_fold`` items of the query's fold don't count.
     """
-    vec = lambda c: l2_normalised(F.col(c)) if normalize else F.col(c).cast("array<double>")
+    # Vectors travel as they are and become doubles in their task.
+    vec = lambda d: l2_normalised(F.col("embedding")) if normalize else F.col("embedding") if d.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
     fold = [F.col("fold").cast("int").alias("fold")] if exclude_fold else [F.lit(None).cast("int").alias("fold")]
-    left = queries.select(F.col("query_id").alias("id"), *fold, vec("embedding").alias("v"))
-    right = items.select(F.col("item_id").alias("id"), *fold, vec("embedding").alias("v"))
+    left = queries.select(F.col("query_id").alias("id"), *fold, vec(queries).alias("v"))
+    right = items.select(F.col("item_id").alias("id"), *fold, vec(items).alias("v"))
     size = lambda d: d.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     q, i = size(left), size(right)
-    across = max(1, -(-q.n * max(1, q.width or 1) // BLOCK_VALUES))
+    blocks = lambda x: max(1, -(-x.n * max(1, x.width or 1) // BLOCK_VALUES))
     # Few items are still dealt to some tasks.
-    down = max(1, -(-i.n * max(1, i.width or 1) // BLOCK_VALUES), min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // across, -(-i.n // LEAST_ITEMS)))
+    tasks = max(blocks(q) * blocks(i), min(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-i.n // LEAST_ITEMS)))
+    across = max(blocks(q), round((tasks * q.n / max(1, i.n)) ** 0.5))
+    down = max(blocks(i), -(-tasks // across))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = left.select("*", block(across).alias("column"), to(down).alias("row")).select("id", "fold", "v", (F.col("column") * down + F.col("row")).alias("task"))
     right = right.select("*", block(down).alias("row"), to(across).alias("column")).select("id", "fold", "v", (F.col("column") * down + F.col("row")).alias("task"))
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": a["id"][:0], "item_id": b["id"][:0], "score": np.zeros(0)})
-        folds = [x["fold"].to_numpy() for x in (a, b)]
-        row, column, score = kernels.best_pairs(np.array(a["v"].tolist()), np.array(b["v"].tolist()), b["id"].to_numpy(), k, folds[0][:, None] == folds[1][None] if exclude_fold else None)
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[row], "item_id": b["id"].to_numpy()[column], "score": score})
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        vectors = [t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1)) for t in (a, b)]
+        if not (a.num_rows and b.num_rows):
+            vectors = [np.zeros((0, 1))] * 2
+        folds = tuple(t.column("fold").to_numpy() for t in (a, b)) if exclude_fold else None
+        row, column, score = kernels.best_pairs(*vectors, b.column("id").to_numpy(), k, folds)
+        return pa.table({"query_id": a.column("id").take(pa.array(row)), "item_id": b.column("id").take(pa.array(column)), "score": pa.array(score)})
 
     kinds = f"query_id {left.schema['id'].dataType.simpleString()}, item_id {right.schema['id'].dataType.simpleString()}, score double"
-    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(best, kinds)
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInArrow(best, kinds)
     return _ranked(found, k).select("query_id", "rank", "item_id", "score")
 
 
