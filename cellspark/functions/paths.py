@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +125,23 @@ def patch_fingerprint(patches: DataFrame, key: Sequence[str], pos: str = "patch_
     return patches.groupBy(*key).agg(F.sha1(F.unhex(hexed)).alias("fingerprint"))
 
 
+def cell_fingerprint(cells: DataFrame, key: Sequence[str], grid: int, patch: int, stride_x: int, stride_y: int) -> DataFrame:
+    """``patch_fingerprint`` of the patches of ``geometry.patches``, from the cells' corners ``x0, y0``: cells are counted by key, and only then are a cell's patches written out in its task, once for all cells of a batch at one place, so that no patch is a row. A key names one place; a cell that comes n times has each patch n times."""
+    starts = [[x, y] for y in range(0, grid - patch + 1, stride_y) for x in range(0, grid - patch + 1, stride_x)]
+    counted = cells.groupBy(*key, "x0", "y0").agg(F.count("*").alias("_n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corners = np.array([[x, y, x + patch, y + patch] for x, y in starts], np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                places, at = np.unique(np.column_stack([batch.column(c).to_numpy() for c in ("x0", "y0", "_n")]).astype(np.int64), axis=0, return_inverse=True)
+                hashes = [hashlib.sha1((corners + [x, y, x, y]).astype("<i4").repeat(n, 0).tobytes()).hexdigest() for x, y, n in places.tolist()]
+                yield pa.record_batch([*[batch.column(k) for k in key], pa.array(hashes).take(pa.array(at.ravel()))], [*key, "fingerprint"])
+
+    out = counted.select(*key).schema.add("fingerprint", "string")
+    return counted.where(F.lit(bool(starts))).mapInArrow(run, out)
+
+
 def shard(rows: DataFrame, index: int, shards: int, max_samples: int | None = None, pos: str = "pos") -> DataFrame:
     """Every ``shards``-th position from ``index``, of the first ``max_samples``."""
     if not 0 <= index < shards:

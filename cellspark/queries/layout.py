@@ -56,7 +56,7 @@ def geo2(spark, sf_dir):
 
 @_query("prj9_fingerprint", f"{with_('images', 'cells')}, {_PATCHES}, h AS (SELECT *, [x0, y0, x1, y1] AS v FROM p), x AS (SELECT image, cell_row, cell_col, patch_pos, list_aggregate(list_transform(v, lambda i: printf('%02x%02x%02x%02x', i & 255, (i >> 8) & 255, (i >> 16) & 255, (i >> 24) & 255)), 'string_agg', '') AS hx FROM h) SELECT image, cell_row, cell_col, sha1(unhex(string_agg(hx, '' ORDER BY patch_pos))) AS fingerprint FROM x GROUP BY image, cell_row, cell_col")
 def prj9(spark, sf_dir):
-    return P.patch_fingerprint(_patches(spark, sf_dir), ["image", "cell_row", "cell_col"])
+    return P.cell_fingerprint(_cells(spark, sf_dir), ["image", "cell_row", "cell_col"], 512, 128, 64, 128)
 
 
 @_query("geo3_windows", f"{with_('images')} SELECT image, (y * 200)::INT AS y0, (x * 200)::INT AS x0 FROM (SELECT *, unnest(range(greatest(0, (raw_w - 400) // 200 + 1))) AS x FROM (SELECT *, unnest(range(greatest(0, (raw_h - 400) // 200 + 1))) AS y FROM images WHERE raw_h >= 400) WHERE raw_w >= 400)")
